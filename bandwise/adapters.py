@@ -83,6 +83,12 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("tax") == 3, "relist")
         .otherwise("active").alias("listing_status"),
         F.round(1 - F.col("l_discount"), 2).cast("decimal(4,2)").alias("normalization_confidence"),
+        F.array(
+            F.struct(
+                F.round("p_retailprice", 2).alias("price"),
+                F.date_sub("ship_day", 7).cast("string").alias("ts"),
+            )
+        ).alias("price_history"),
         F.col("ship_day").cast("timestamp").alias("created_at"),
     )
 

@@ -1,4 +1,4 @@
-"""Ask versus band: the delta modes and the derived labels."""
+"""Ask versus band: the delta modes and the labels derived from them."""
 
 from __future__ import annotations
 
@@ -6,3 +6,67 @@ import datetime as dt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+
+MODES = ("alert_view", "ddl_view", "api")
+
+
+def pct_of(value: Column, base: Column) -> Column:
+    """(value - base) / base in percent to one decimal, halves away from zero; null on base 0."""
+    base = base.cast("double")
+    raw = F.try_divide(value.cast("double") - base, base) * 100
+    return F.round(raw.cast("decimal(18,6)"), 1).cast("double")
+
+
+def ask_vs_median(ask: Column, median: Column, insufficient: Column, mode: str) -> Column:
+    """The three ask-versus-median rules.
+
+    alert_view: any band counts; ddl_view: the median must be positive; api: the band must be
+    sufficient and neither price may be zero.
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown delta mode {mode!r}")
+    delta = pct_of(ask, median)
+    if mode == "ddl_view":
+        return F.when(median > 0, delta)
+    if mode == "api":
+        return F.when(~insufficient & (median != 0) & (ask != 0), delta)
+    return delta
+
+
+def shown_median(median: Column, insufficient: Column) -> Column:
+    """The median as the read interface shows it: hidden while the band is insufficient."""
+    return F.when(~insufficient & (median != 0), median)
+
+
+def days_on_market(as_of: dt.date, listed: Column) -> Column:
+    return F.datediff(F.lit(as_of), listed)
+
+
+def delta_bucket(delta: Column) -> Column:
+    return (
+        F.when(delta.isNull(), "no data")
+        .when(delta <= -15, "deal")
+        .when(delta < 0, "below")
+        .when(delta > 15, "far above")
+        .otherwise("above")
+    )
+
+
+def band_position(value: Column, low: Column, high: Column, *bounds: Column) -> Column:
+    """Place of a value between low and high in percent; null when any bound is absent or 0."""
+    present = (low != 0) & (high != 0)
+    for bound in (value, *bounds):
+        present = present & (bound != 0)
+    span = F.coalesce(F.nullif(high - low, F.lit(0.0)), F.lit(1.0))
+    place = ((value - low) / span * 100).cast("decimal(18,6)")
+    return F.when(present, F.round(place, 1).cast("double"))
+
+
+def relative_time(as_of: dt.datetime, moment: Column) -> Column:
+    seconds = F.unix_timestamp(F.lit(as_of)) - F.unix_timestamp(moment)
+    hours = F.floor(seconds / 3600)
+    return (
+        F.when(hours < 1, F.concat(F.floor(seconds / 60).cast("string"), F.lit("m ago")))
+        .when(hours < 24, F.concat(hours.cast("string"), F.lit("h ago")))
+        .otherwise(F.concat(F.floor(hours / 24).cast("string"), F.lit("d ago")))
+    )

@@ -201,6 +201,15 @@ def single_window_bands(comps: DataFrame, as_of: dt.date, window_days: int = WIN
     return band_table(comps, as_of, window_days=window_days, thin_window_days=window_days)
 
 
+def single_window_bands_by(
+    comps: DataFrame, as_of: dt.date, keys: Sequence[str], window_days: int = 36_500
+) -> DataFrame:
+    """Bands per other keys, by default over all history."""
+    return band_table(
+        comps, as_of, window_days=window_days, thin_window_days=window_days, keys=keys
+    )
+
+
 def rollup_levels(keys: Sequence[str] = CLUSTER_KEYS) -> list[list[str]]:
     return [list(keys[:n]) for n in range(len(keys), -1, -1)]
 

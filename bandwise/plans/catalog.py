@@ -1,4 +1,8 @@
 """Every registered query, family by family."""
 
-from bandwise.plans import band_queries  # noqa: F401
+from bandwise.plans import (  # noqa: F401
+    alert_queries,
+    band_queries,
+    search_queries,
+)
 from bandwise.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -14,7 +14,7 @@ SHARED = """
   CASE WHEN l_linenumber <= 3 THEN 'WP0ZZZ' || lpad(CAST(l_partkey AS VARCHAR), 11, '0') END AS vin,
   CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT) AS cents,
   CAST(round(l_tax * 100) AS INTEGER) AS tax, CAST(l_shipdate AS DATE) AS ship_day,
-  CAST(round((1 - l_discount) * 100) AS BIGINT) AS conf100
+  CAST(round((1 - l_discount) * 100) AS BIGINT) AS conf100, round(p_retailprice, 2) AS old_price
 """
 
 COMPS = f"""
@@ -72,3 +72,61 @@ def with_listings(body: str) -> str:
 
 def with_all(body: str) -> str:
     return f"WITH {AS_OF}, {COMPS}, {LISTINGS}, {BANDS} {body}"
+
+
+MONEY = "('$' || format('{:,}', CAST(round_even(CAST(%s AS DOUBLE), 0) AS BIGINT)))"
+
+
+def money(expr: str) -> str:
+    return MONEY % expr
+
+
+def pct(value: str, base: str) -> str:
+    v, b = f"CAST({value} AS DOUBLE)", f"CAST({base} AS DOUBLE)"
+    return f"CAST(round(CAST(({v} - {b}) / {b} * 100 AS DECIMAL(18,6)), 1) AS DOUBLE)"
+
+
+VIEW = f"""
+askview AS (SELECT l.*, b.median_price, b.p25_price, b.p75_price, b.min_price, b.max_price,
+    b.comp_count, b.insufficient_data,
+    CASE WHEN b.median_price <> 0 THEN {pct('l.asking_price', 'b.median_price')} END AS delta_pct
+  FROM listings l LEFT JOIN bands b USING (generation, body_style, transmission)
+  WHERE l.listing_status IN ('active', 'relist'))
+"""
+
+CANDIDATES = f"""
+cand AS (
+  SELECT id AS listing_id, 'new_listing' AS alert_type, 'info' AS severity,
+    'New listing: ' || source_url || ' — asking ' || {money('asking_price')} AS reason,
+    CAST(NULL AS DOUBLE) AS delta_pct, normalization_confidence AS conf, created_at
+  FROM askview, today WHERE created_at >= CAST(d AS TIMESTAMP) - INTERVAL 24 HOUR
+  UNION ALL
+  SELECT id, 'relist', 'info', 'Relist detected: ' || source_url, NULL,
+    normalization_confidence, created_at FROM askview WHERE listing_status = 'relist'
+  UNION ALL
+  SELECT id, 'insufficient_data_warning', 'info',
+    'Cluster has too few comps to validate price of ' || {money('asking_price')} || ' — ' || source_url,
+    NULL, normalization_confidence, created_at FROM askview WHERE insufficient_data
+  UNION ALL
+  SELECT id, 'underpriced', CASE WHEN delta_pct <= -25 THEN 'act' ELSE 'watch' END,
+    'Asking ' || {money('asking_price')} || ' is ' || format('{{:.1f}}', abs(delta_pct)) ||
+    '% below cluster median ' || {money('median_price')} || ' — ' || source_url,
+    delta_pct, normalization_confidence, created_at
+  FROM askview WHERE NOT coalesce(insufficient_data, FALSE) AND delta_pct <= -15
+  UNION ALL
+  SELECT id, 'price_drop', 'watch',
+    'Price dropped ' || format('{{:.1f}}', (old_price - cents / 100.0::DOUBLE) / old_price * 100) ||
+    '% from ' || {money('old_price')} || ' → ' || {money('asking_price')} || ' — ' || source_url,
+    -((old_price - CAST(asking_price AS DOUBLE)) / old_price * 100), normalization_confidence, created_at
+  FROM askview
+  WHERE (CAST(round(old_price * 100) AS BIGINT) - cents) * 100 >= 5 * CAST(round(old_price * 100) AS BIGINT)
+),
+stored AS (SELECT listing_id, alert_type, severity, reason, delta_pct,
+    CASE WHEN conf >= 0.97 THEN 'open' WHEN conf >= 0.94 THEN 'read' ELSE 'dismissed' END AS status,
+    created_at AS triggered_at
+  FROM cand, today WHERE created_at < CAST(d AS TIMESTAMP) - INTERVAL 30 DAY)
+"""
+
+
+def with_alerts(body: str) -> str:
+    return with_all("").rstrip() + f", {VIEW}, {CANDIDATES} {body}"
