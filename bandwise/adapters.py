@@ -104,3 +104,54 @@ def snapshot_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         "props",
     )
+
+
+# Wordings that the derived ads cycle through.
+PHRASES = (
+    "Matching numbers engine, original paint and service records on file.",
+    "The engine was replaced by a rebuilt engine; repainted in 1990.",
+    "Numbers matching with a widebody kit, lowered on coilovers.",
+    "No service records. Non-matching block with a 3.6 swap.",
+    "Unrestored barn find with original books; aftermarket alloy wheels.",
+    "Sport exhaust and a roll cage, factory paint, documented history.",
+    "Records missing, color change, turbo kit fitted.",
+    "BBS wheels, dealer maintained, original factory finish.",
+    "",
+)
+TRIMS = ("Carrera 2", "Carrera 3.2", "964 Targa", "993 Coupe", "SC", "Tiptronic cabriolet", "Turbo")
+BODIES = ("Coupe", "CABRIOLET", "Targa top", "Speedster", "sedan", "", None, "Roadster", "Hardtop targa")
+GEARBOXES = ("5-Speed Manual (G50)", "Tiptronic S", "6-speed", "automatic", "", "915", "Getrag box",
+             "stick shift", None, "6 speed manual")
+DRIVES = ("awd", "AWD", "rwd", "fwd", "", None)
+PAINTS = ("Guards Red", "  grand prix white ", "black", "Biscay Blue", "linen", "Gards Red",
+          "riviera blu metalic", "Slate Grey", "xyzzy", "", None, "metallic cobalt blue",
+          "Wine Red", "Grey", "dark-green", "irish greeen", "golden brown", "   ")
+SELLERS = ("auction_house", "Private party", "Franchise DEALER", "dealer auction", "", None, "broker")
+DATES = ("2025-03-14", "2025-03-14T10:20:30", "2025-03-14T10:20:30Z", "February 20, 2025",
+         "May 1, 2025", "14.03.2025", "", None)
+
+
+def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed ads: each document's whole text, closed by one of the wordings above."""
+    n = F.col("doc_id")
+    year = F.when(n % 13 != 0, (n * 7 % 45 + 1958).cast("int"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        pick(SITES, n).alias("source"),
+        F.concat(F.lit("https://market.example/ad/"), n).alias("source_url"),
+        year.alias("year"),
+        F.concat(F.coalesce(year.cast("string"), F.lit("")), F.lit(" Porsche 911 "),
+                 pick(TRIMS, n)).alias("title_raw"),
+        F.concat(F.col("text"), F.lit(" "), pick(PHRASES, n)).alias("description_raw"),
+        pick(BODIES, n).alias("body_style_raw"),
+        pick(GEARBOXES, F.floor(n / 3)).alias("transmission_raw"),
+        pick(DRIVES, n).alias("drivetrain_raw"),
+        pick(PAINTS, n).alias("exterior_color_raw"),
+        F.when(n % 5 != 0, (n * 31 % 200_000).cast("int")).alias("mileage"),
+        F.when(n % 4 != 0, F.concat(F.lit("WP0ZZZ"), F.lpad(n.cast("string"), 11, "0"))).alias("vin"),
+        pick(SELLERS, n).alias("seller_type_raw"),
+        pick(DATES, n).alias("listing_date"),
+        F.lit(None).cast("string").alias("currency"),
+        ((n * 997 % 90_000) + 10_000).cast("decimal(10,2)").alias("final_price"),
+        pick(("auction_final", "dealer_ask", "private_ask", "estimate"), F.floor(n / 2)).alias("price_type"),
+    )

@@ -3,6 +3,7 @@
 from bandwise.plans import (  # noqa: F401
     alert_queries,
     band_queries,
+    normalize_queries,
     search_queries,
 )
 from bandwise.plans.registry import ORACLES, QUERIES  # noqa: F401
