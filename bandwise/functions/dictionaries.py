@@ -194,3 +194,59 @@ MODIFICATION_PATTERNS = {
         r"\btrack[- ]prep\b",
     ),
 }
+
+# --- fixed values: per pattern, whole words one of which is in every match -------------
+GATE_WORDS = {
+    r"\bmatching[- ]numbers?\b": ("matching",),
+    r"\bnumbers?[- ]matching\b": ("matching",),
+    r"\boriginal[- ]engine\b": ("engine",),
+    r"\boriginal[- ]motor\b": ("motor",),
+    r"\bfactory[- ]engine\b": ("engine",),
+    r"\bnon[- ]matching\b": ("matching",),
+    r"\bengine[- ](swap|replacement|rebuild|replaced)\b": ("engine",),
+    r"\b(replacement|rebuilt|swapped)[- ]engine\b": ("engine",),
+    r"\boriginal[- ]paint\b": ("paint",),
+    r"\bunrestored\b": ("unrestored",),
+    r"\bbarn[- ]find\b": ("barn",),
+    r"\bfactory[- ](?:original[- ])?paint\b": ("paint",),
+    r"\boriginal[- ](?:factory[- ])?finish\b": ("finish",),
+    r"\bpaint[- ]meter\b": ("paint",),
+    r"\brepaint(?:ed)?\b": ("repaint", "repainted"),
+    r"\bre[- ]paint(?:ed)?\b": ("paint", "painted"),
+    r"\bnew[- ]paint\b": ("paint",),
+    r"\bcolor[- ]change\b": ("color",),
+    r"\brefin(?:ish|ished)\b": ("refinish", "refinished"),
+    r"\bservice[- ]record[s]?\b": ("service",),
+    r"\bservice[- ]histor(?:y|ies)\b": ("service",),
+    r"\bdealer[- ]maintained\b": ("maintained",),
+    r"\bdocumented[- ](?:service[- ])?histor(?:y|ies)\b": ("documented",),
+    r"\bmaintenance[- ]record[s]?\b": ("maintenance",),
+    r"\brecords[- ]present\b": ("records",),
+    r"\brecords[- ]available\b": ("records",),
+    r"\brecords[- ]on[- ]file\b": ("records",),
+    r"\boriginal[- ]books?\b": ("book", "books"),
+    r"\bno[- ]service[- ]record[s]?\b": ("service",),
+    r"\bno[- ]records?\b": ("record", "records"),
+    r"\brecords?[- ](not[- ]available|unavailable|unknown|missing)\b": ("record", "records"),
+    r"\bwidebody\b": ("widebody",),
+    r"\bwide[- ]body\b": ("wide",),
+    r"\bflared?\b": ("flare", "flared"),
+    r"\bengine[- ](swap|replaced|conversion)\b": ("engine",),
+    r"\b(993|964|3\.8|3\.6|3\.2)[- ]swap\b": ("swap",),
+    r"\bturbo[- ]conversion\b": ("turbo",),
+    r"\bturbo[- ]kit\b": ("turbo",),
+    r"\baftermarket[- ]exhaust\b": ("exhaust",),
+    r"\bsport[- ]exhaust\b": ("exhaust",),
+    r"\b(borla|akrapovic|dansk)\b": ("borla", "akrapovic", "dansk"),
+    r"\baftermarket\b.{0,20}\bwheels?\b": ("aftermarket",),
+    r"\bnon[- ]factory[- ]wheels?\b": ("wheel", "wheels"),
+    r"\b(bbs|fuchs|forgeline|volk|enkei|rotiform)\b": ("bbs", "fuchs", "forgeline", "volk", "enkei", "rotiform"),
+    r"\blowered\b": ("lowered",),
+    r"\bcoilover[s]?\b": ("coilover", "coilovers"),
+    r"\bsuspension[- ](kit|upgrade)\b": ("suspension",),
+    r"\broll[- ]cage\b": ("cage",),
+    r"\brollcage\b": ("rollcage",),
+    r"\bstripped[- ]interior\b": ("interior",),
+    r"\bcage[d]?\b": ("cage", "caged"),
+    r"\btrack[- ]prep\b": ("prep",),
+}

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,58 @@ def any_of(patterns: Iterable[str]) -> str:
     return FLAGS + "(?:" + "|".join(patterns) + ")"
 
 
+# Letters that ignore-case matching equates with s, i or k but lower() does not.
+ODD_CASE = "[ſıİ\u212a]"
+
+
+class IndexedText(NamedTuple):
+    """A text column with its lower-cased form, the gate words found in it and whether it has an
+    odd-case letter, each computed once per row."""
+
+    text: Column
+    lowered: Column
+    words: Column
+    odd: Column
+
+
+def with_text_index(df: DataFrame, column: str) -> tuple[DataFrame, IndexedText]:
+    gates = sorted({w for words in D.GATE_WORDS.values() for w in words})
+    df = df.withColumn("_lowered", F.lower(column))
+    df = df.withColumn(
+        "_words",
+        F.array_intersect(
+            F.split("_lowered", "[^a-z0-9]+"), F.array(*[F.lit(w) for w in gates])
+        ),
+    )
+    df = df.withColumn("_odd", F.col(column).rlike(ODD_CASE))
+    return df, IndexedText(F.col(column), F.col("_lowered"), F.col("_words"), F.col("_odd"))
+
+
+TEXT_INDEX_COLUMNS = ("_lowered", "_words", "_odd")
+
+
+def _boundary_last(pattern: str) -> str:
+    """The same pattern with its leading word boundary checked after the match, by looking back:
+    the engine then skips ahead on the first letter instead of testing every position."""
+    body = pattern.removeprefix(r"\b")
+    return f"(?Ud){body}(?<=\\b{body})"
+
+
+def mentions(indexed: IndexedText, patterns: Iterable[str]) -> Column:
+    """Whether any pattern matches, ignoring case.
+
+    One split of the text into words says which patterns can match at all; a regex only runs on
+    the texts that hold one of its gate words. Texts with a letter that lower() does not fold
+    take the full patterns.
+    """
+    patterns = tuple(patterns)
+    found = F.lit(False)
+    for pattern in patterns:
+        gate = reduce(or_, [F.array_contains(indexed.words, w) for w in D.GATE_WORDS[pattern]])
+        found = found | (gate & indexed.lowered.rlike(_boundary_last(pattern)))
+    return found | (indexed.odd & indexed.text.rlike(any_of(patterns)))
+
+
 def first_class(text: Column, patterns) -> Column:
     """Label of the first matching pattern, in order."""
     chain = F.lit(None).cast("string")
@@ -64,19 +119,19 @@ def drivetrain(raw: Column) -> Column:
     return F.when(F.lower(stripped(raw)) == "awd", "awd").otherwise("rwd")
 
 
-def text_flag(text: Column, name: str) -> Column:
+def text_flag(indexed: IndexedText, name: str) -> Column:
     """False on a negation, else true on a mention, else null: not mentioned is unknown."""
     rules = D.FLAG_PATTERNS[name]
-    return F.when(text.rlike(any_of(rules["no"])), False).when(
-        text.rlike(any_of(rules["yes"])), True
+    return F.when(mentions(indexed, rules["no"]), False).when(
+        mentions(indexed, rules["yes"]), True
     )
 
 
-def modification_flags(text: Column) -> Column:
+def modification_flags(indexed: IndexedText) -> Column:
     """Names of the matching modification groups in dictionary order; null when none."""
     found = F.array_compact(
         F.array(*[
-            F.when(text.rlike(any_of(patterns)), name)
+            F.when(mentions(indexed, patterns), name)
             for name, patterns in D.MODIFICATION_PATTERNS.items()
         ])
     )

@@ -22,8 +22,9 @@ def normalize_records(parsed: DataFrame) -> DataFrame:
     def or_text(column):
         return F.coalesce(F.nullif(F.col(column), F.lit("")), combined)
 
+    indexed, text = N.with_text_index(parsed, "description_raw")
     rows = with_color(
-        parsed, F.nullif(F.col("exterior_color_raw"), F.lit("")),
+        indexed, F.nullif(F.col("exterior_color_raw"), F.lit("")),
         "exterior_color_canonical", "color_confidence",
     )
     rows = (
@@ -33,10 +34,10 @@ def normalize_records(parsed: DataFrame) -> DataFrame:
         .withColumn("body_style", N.body_style(or_text("body_style_raw")))
         .withColumn("transmission", N.transmission(or_text("transmission_raw")))
         .withColumn("drivetrain", N.drivetrain(F.col("drivetrain_raw")))
-        .withColumn("matching_numbers", N.text_flag(description, "matching_numbers"))
-        .withColumn("original_paint", N.text_flag(description, "original_paint"))
-        .withColumn("service_history", N.text_flag(description, "service_history"))
-        .withColumn("modification_flags", N.modification_flags(description))
+        .withColumn("matching_numbers", N.text_flag(text, "matching_numbers"))
+        .withColumn("original_paint", N.text_flag(text, "original_paint"))
+        .withColumn("service_history", N.text_flag(text, "service_history"))
+        .withColumn("modification_flags", N.modification_flags(text))
         .withColumn("seller_type", N.seller_type(F.col("seller_type_raw")))
         .withColumn("listing_date", N.lenient_date(F.col("listing_date")))
         .withColumn("description_raw", F.nullif(F.col("description_raw"), F.lit("")))
@@ -49,4 +50,4 @@ def normalize_records(parsed: DataFrame) -> DataFrame:
             F.col("exterior_color_raw"), F.col("mileage"), F.col("exterior_color_canonical"),
             F.col("color_confidence"),
         ),
-    )
+    ).drop(*N.TEXT_INDEX_COLUMNS)

@@ -186,15 +186,16 @@ _FLAG_NAMES = ("matching_numbers", "original_paint", "service_history")
 @query("n8_text_flags", ads_sql("doc_id, " + ", ".join(
     f"{sql_flag('description_raw', n)} AS {n}" for n in _FLAG_NAMES)))
 def text_flags(spark, sf):
-    return A.ads(spark, sf).select(
-        "doc_id", *[N.text_flag(F.col("description_raw"), n).alias(n) for n in _FLAG_NAMES])
+    ads, text = N.with_text_index(A.ads(spark, sf), "description_raw")
+    return ads.select("doc_id", *[N.text_flag(text, n).alias(n) for n in _FLAG_NAMES])
 
 
 @query("n9_modification_flags", ads_sql(
     f"doc_id, nullif({sql_mods('description_raw')}, '') AS modification_flags"))
 def modification_flags(spark, sf):
-    flags = F.array_join(N.modification_flags(F.col("description_raw")), ",")
-    return A.ads(spark, sf).select("doc_id", flags.alias("modification_flags"))
+    ads, text = N.with_text_index(A.ads(spark, sf), "description_raw")
+    flags = F.array_join(N.modification_flags(text), ",")
+    return ads.select("doc_id", flags.alias("modification_flags"))
 
 
 _NORMALIZED = f"""WITH {ADS}, {sql_color('exterior_color_raw', 'ads')},
