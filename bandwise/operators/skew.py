@@ -66,22 +66,25 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def time_chunk(ts: str, seconds: int = 3600) -> Column:
+    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
+
+
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],
-    ts: str,
+    chunk: Column,
     order: Sequence[str],
     values: Sequence[str],
-    chunk_seconds: int = 3600,
     name: str = "prev",
 ) -> DataFrame:
     """Add struct `name`: `values` of the preceding row of the same key in `order`.
 
-    Each key is cut into time chunks and lag() runs within a chunk, so a hot key is spread over
-    many tasks. The first row of a chunk takes the last row of the nearest earlier chunk; those
-    last rows come from an aggregate with map-side combine, one row per key and chunk.
+    Each key is cut into chunks that never decrease along the order (time slices, say), and
+    lag() runs within a chunk, so a hot key is spread over many tasks. The first row of a chunk
+    takes the last row of the nearest earlier chunk; those last rows come from an aggregate with
+    map-side combine, one row per key and chunk.
     """
-    chunk = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / chunk_seconds)
     rows = df.withColumn("_chunk", chunk)
     inner = rows.withColumn(
         "_in_chunk",
