@@ -3,6 +3,7 @@
 from bandwise.plans import (  # noqa: F401
     alert_queries,
     band_queries,
+    extract_queries,
     merge_queries,
     normalize_queries,
     search_queries,

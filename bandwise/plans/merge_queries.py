@@ -351,8 +351,7 @@ _RATES = """rates AS (SELECT ['USD','EUR','GBP'][CAST(o_custkey % 3 AS INTEGER)
 
 @query("j12_currency_asof", f"""WITH {O.COMPS}, {_RATES}
 SELECT c.id, c.currency, CASE WHEN c.currency = 'USD' THEN 10000 ELSE rate4 END / 10000.0 AS used_rate,
-  CAST(round(CAST(c.cents * CASE WHEN c.currency = 'USD' THEN 10000 ELSE rate4 END AS DECIMAL(18,0)) / 1000000.0, 2)
-    AS DECIMAL(14,2)) AS sale_price_usd
+  (c.cents * CASE WHEN c.currency = 'USD' THEN 10000 ELSE rate4 END + 5000) // 10000 / 100.0 AS sale_price_usd
 FROM comps c ASOF LEFT JOIN rates r ON r.currency = c.currency AND r.rate_date <= c.sale_date""")
 def currency_asof(spark, sf):
     """Sale prices converted at the monthly rate in force on the sale date; the rates come from
