@@ -6,6 +6,7 @@ library parsing. It hands back named lists of text; all further parsing is Spark
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -41,10 +42,12 @@ class Pick:
 
 
 class _Element:
-    __slots__ = ("tag", "classes", "attrs", "parent", "start", "end")
+    # start/end bound the text pieces, first/last the elements inside
+    __slots__ = ("tag", "classes", "attrs", "parent", "start", "end", "first", "last")
 
-    def __init__(self, tag, attrs, parent, start):
+    def __init__(self, tag, attrs, parent, start, first):
         self.tag, self.attrs, self.parent, self.start, self.end = tag, attrs, parent, start, None
+        self.first = self.last = first
         self.classes = (attrs.get("class") or "").split()
 
 
@@ -54,6 +57,7 @@ class _Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.elements, self.pieces, self.open = [], [], []
+        self.by_tag, self.by_class = defaultdict(list), defaultdict(list)
         self.feed(html)
         self.close()
         while self.open:
@@ -62,7 +66,7 @@ class _Page(HTMLParser):
     def _shut(self, element):
         while self.open:
             top = self.open.pop()
-            top.end = len(self.pieces)
+            top.end, top.last = len(self.pieces), len(self.elements)
             if top is element:
                 return
 
@@ -74,8 +78,13 @@ class _Page(HTMLParser):
                 self._shut(element)
                 break
         parent = self.open[-1] if self.open else None
-        element = _Element(tag, {k: v or "" for k, v in attrs}, parent, len(self.pieces))
+        element = _Element(
+            tag, {k: v or "" for k, v in attrs}, parent, len(self.pieces), len(self.elements) + 1
+        )
         self.elements.append(element)
+        self.by_tag[tag].append(element)
+        for name in element.classes:
+            self.by_class[name].append(element)
         if tag in VOID:
             element.end = element.start
         else:
@@ -108,8 +117,18 @@ class _Page(HTMLParser):
         return ("" if how == "tight" else " ").join(stripped)
 
     def select(self, selector: str) -> list[_Element]:
-        steps = selector.split()
-        return [e for e in self.elements if _fits(e, steps[-1]) and _inside(e, steps[:-1])]
+        *outer, last = selector.split()
+        tag, *classes = last.split(".")
+        if classes:
+            near = self.by_class.get(classes[0], ())
+        elif tag.startswith("#"):
+            near = self.elements
+        else:
+            near = self.by_tag.get(tag, ())
+        return [e for e in near if _fits(e, last) and _inside(e, outer)]
+
+    def within(self, ancestor, *tags) -> list[_Element]:
+        return [e for e in self.elements[ancestor.first:ancestor.last] if e.tag in tags]
 
 
 def _fits(element: _Element, step: str) -> bool:
@@ -159,15 +178,14 @@ def _pairs(page: _Page, spec: dict) -> tuple[list[str], list[str]]:
     found: list[tuple[str, str]] = []
     for container in (*spec.get("pairs_in", ()), ""):
         for dl in page.select(f"{container} dl".strip()):
-            inner = [e for e in page.elements if e.tag in ("dt", "dd") and _under(e, dl)]
-            terms = [page.text(e, "tight") for e in inner if e.tag == "dt"]
-            values = [page.text(e, "tight") for e in inner if e.tag == "dd"]
+            terms = [page.text(e, "tight") for e in page.within(dl, "dt")]
+            values = [page.text(e, "tight") for e in page.within(dl, "dd")]
             found += zip(terms, values)
         if found:
             break
     if spec.get("rows_and_items"):
         for row in page.select("tr"):
-            cells = [e for e in page.elements if e.tag in ("td", "th") and _under(e, row)]
+            cells = page.within(row, "td", "th")
             if len(cells) > 1:
                 found.append((page.text(cells[0], "tight"), page.text(cells[1], "tight")))
         for item in page.select("li"):
@@ -178,13 +196,6 @@ def _pairs(page: _Page, spec: dict) -> tuple[list[str], list[str]]:
     return [k for k, _ in found], [v for _, v in found]
 
 
-def _under(element, ancestor) -> bool:
-    at = element.parent
-    while at is not None and at is not ancestor:
-        at = at.parent
-    return at is not None
-
-
 def read_fragments(html: str, spec: dict) -> dict[str, list[str]] | None:
     """Slots of one page; None when it cannot be read."""
     try:
@@ -209,4 +220,6 @@ def fragments(html: Column, spec: dict) -> Column:
     def run(pages: pd.Series) -> pd.Series:
         return pages.map(lambda h: None if h is None else read_fragments(h, spec))
 
-    return run(html)
+    # Declared non-deterministic so that the optimizer keeps one evaluation per page instead of
+    # copying the call into every filter and field above it.
+    return run.asNondeterministic()(html)

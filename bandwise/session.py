@@ -17,6 +17,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Extraction plans hold many aliases over large expressions; deriving extra filters from
+    # them takes the optimizer minutes. Null filters that matter are written out instead.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
