@@ -19,9 +19,8 @@ def pick(values, index: Column) -> Column:
     )
 
 
-def _sales(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == status)
-    parts = table(spark, sf_dir, "part")
+def _sales(lines: DataFrame, parts: DataFrame, status: str) -> DataFrame:
+    lines = lines.where(F.col("l_linestatus") == status)
     cents = F.expr("cast(round(l_extendedprice * 100) as bigint) div cast(l_quantity as bigint)")
     return (
         lines.join(parts, lines.l_partkey == parts.p_partkey)
@@ -58,7 +57,8 @@ def _money(cents: str) -> Column:
 
 def comps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completed sales: shipped lines, one row each."""
-    return _sales(spark, sf_dir, "F").select(
+    lines, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    return _sales(lines, parts, "F").select(
         *_shared_columns(),
         _money("cents").alias("sale_price"),
         F.col("ship_day").alias("sale_date"),
@@ -73,7 +73,12 @@ def comps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Asks: open lines, one row each."""
-    return _sales(spark, sf_dir, "O").select(
+    return listings_from(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
+
+
+def listings_from(lines: DataFrame, parts: DataFrame) -> DataFrame:
+    """The same from given lines, which may be a stream."""
+    return _sales(lines, parts, "O").select(
         *_shared_columns(),
         _money("cents").alias("asking_price"),
         F.col("ship_day").alias("listing_date"),

@@ -7,5 +7,6 @@ from bandwise.plans import (  # noqa: F401
     merge_queries,
     normalize_queries,
     search_queries,
+    source_queries,
 )
 from bandwise.plans.registry import ORACLES, QUERIES  # noqa: F401
