@@ -173,7 +173,11 @@ TRIM_TEXTS = ("Carrera", "Carrera 4", "SC")
 def _page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     day = F.col("o_orderdate").cast("date")
-    return table(spark, sf_dir, "orders").select(
+    # A page is some fifty times wider than its order row, so the rows are spread before.
+    orders = table(spark, sf_dir, "orders").repartition(
+        spark.sparkContext.defaultParallelism, "o_orderkey"
+    )
+    return orders.select(
         k.alias("k"),
         pick(SITES, k).alias("source"),
         (k % 45 + 1958).cast("string").alias("y"),
