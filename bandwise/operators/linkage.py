@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bandwise.operators.skew import lookup_join, salted_join, with_previous
+from bandwise.operators.skew import lookup_join, with_previous
 from bandwise.schemas import CANONICAL_MODEL_SCHEMA, CANONICAL_MODELS
 
 MILEAGE_BAND = 500
@@ -68,7 +68,6 @@ def similar_duplicates(
     *,
     mileage_band: int = MILEAGE_BAND,
     date_band: int = DATE_BAND,
-    salts: int = 16,
 ) -> DataFrame:
     """Rows without VIN that an older row resembles: equal keys, mileage and date within their
     bands. Each gets the date of its oldest such row and the id of a matching row of that day.
@@ -78,7 +77,8 @@ def similar_duplicates(
     always match on mileage; for the buckets next to it only the extreme mileage of a day
     decides. A bucket and date cell (as many days as the band holds) therefore shrinks to at
     most one summary per day, whatever its size. Every cell receives the summaries of its
-    neighbours, and each row meets one bounded array.
+    neighbours, and each row meets one bounded array. The array side has one row per cell, so
+    AQE can split the rows of a hot cell over many tasks.
     """
     wanted = F.col("vin").isNull() & F.col("mileage").isNotNull() & F.col("listing_date").isNotNull()
     for key in keys:
@@ -107,7 +107,7 @@ def similar_duplicates(
         .groupBy(*keys, "bucket", "cell")
         .agg(F.collect_list(F.struct("day", "side", "lo", "lo_id", "hi", "hi_id")).alias("around"))
     )
-    met = salted_join(points, around, [*keys, "bucket", "cell"], "left", F.col("id"), salts)
+    met = points.join(around, [*keys, "bucket", "cell"], "left")
 
     def resembles(e):
         earlier = (e["day"] < F.col("day")) & (e["day"] >= F.col("day") - date_band)

@@ -49,23 +49,6 @@ def lookup_join(
     return facts.join(dim, list(on), how)
 
 
-def salted_join(
-    facts: DataFrame,
-    dim: DataFrame,
-    on: Sequence[str],
-    how: str,
-    salt_source: Column,
-    salts: int = 16,
-) -> DataFrame:
-    """Equi-join whose fact side may have hot keys and whose other side is small per key:
-    facts get a salt, the other side is repeated once per salt."""
-    left = facts.withColumn("_salt", F.pmod(F.xxhash64(salt_source), F.lit(salts)))
-    right = dim.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    )
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
-
-
 def time_chunk(ts: str, seconds: int = 3600) -> Column:
     return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
 

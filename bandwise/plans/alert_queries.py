@@ -21,14 +21,15 @@ def now(spark, sf) -> dt.datetime:
     return dt.datetime.combine(as_of(spark, sf), dt.time(), dt.timezone.utc)
 
 
-def candidates(spark, sf):
-    return A.candidate_alerts(view(spark, sf), now(spark, sf))
+def candidates(spark, sf, asked=None):
+    return A.candidate_alerts(asked or view(spark, sf), now(spark, sf))
 
 
-def stored_alerts(spark, sf):
-    """Alerts on file: those of listings older than 30 days, with a status by confidence."""
+def stored_alerts(spark, sf, asked=None):
+    """Alerts on file: those of listings older than 30 days, with a status by confidence. A
+    caller that has the ask view already passes it, so its bands are built once."""
     moment = now(spark, sf)
-    asked = view(spark, sf).where(
+    asked = (asked or view(spark, sf)).where(
         F.col("created_at") < F.lit(moment - dt.timedelta(days=30))
     )
     made = A.candidate_alerts(asked, moment)
@@ -91,14 +92,17 @@ _FRESH = O.with_alerts(f"""SELECT {_ALERT} FROM cand c WHERE NOT EXISTS (SELECT
 @query("r8_deduplicated_alerts", _FRESH)
 def deduplicated_alerts(spark, sf):
     """Alerts that no open or read one of the same type and listing blocks."""
-    return A.new_alerts(candidates(spark, sf), stored_alerts(spark, sf)).select(*ALERT)
+    asked = view(spark, sf)
+    fresh = A.new_alerts(candidates(spark, sf, asked), stored_alerts(spark, sf, asked))
+    return fresh.select(*ALERT)
 
 
 @query("j5_blocked_alerts", O.with_alerts("""SELECT alert_type, listing_id FROM cand c
 WHERE EXISTS (SELECT 1 FROM stored s WHERE s.alert_type = c.alert_type
   AND s.listing_id = c.listing_id AND s.status IN ('open', 'read'))"""))
 def blocked_alerts(spark, sf):
-    blocked = A.skipped_alerts(candidates(spark, sf), stored_alerts(spark, sf))
+    asked = view(spark, sf)
+    blocked = A.skipped_alerts(candidates(spark, sf, asked), stored_alerts(spark, sf, asked))
     return blocked.select("alert_type", "listing_id")
 
 
@@ -109,7 +113,8 @@ SELECT CASE WHEN EXISTS (SELECT 1 FROM stored s WHERE s.alert_type = c.alert_typ
   AND s.listing_id = c.listing_id AND s.status IN ('open', 'read')) THEN 'skipped_dedup'
   ELSE 'created' END, count(*) FROM cand c GROUP BY 1"""))
 def alert_run_counters(spark, sf):
-    return A.run_counters(view(spark, sf), candidates(spark, sf), stored_alerts(spark, sf))
+    asked = view(spark, sf)
+    return A.run_counters(asked, candidates(spark, sf, asked), stored_alerts(spark, sf, asked))
 
 
 @query("r9_status_transitions", O.with_alerts("""
@@ -239,5 +244,6 @@ def saved_criteria(spark, sf):
 SELECT v.id, s.alert_type, s.severity, s.status FROM askview v
 LEFT JOIN stored s ON s.listing_id = v.id AND s.status <> 'dismissed'"""))
 def listings_with_alerts(spark, sf):
-    joined = A.with_open_alerts(view(spark, sf), stored_alerts(spark, sf))
+    asked = view(spark, sf)
+    joined = A.with_open_alerts(asked, stored_alerts(spark, sf, asked))
     return joined.select("id", "alert_type", "severity", "status")

@@ -326,4 +326,4 @@ def underpriced_asks(spark, sf):
         "id", "source_url", F.concat_ws(":", *CLUSTER_KEYS).alias("cluster_key"),
         F.col("asking_price").cast("double").alias("asking_price"), "median_price", "comp_count",
         "delta_pct", underpriced_severity(F.col("delta_pct")).alias("severity"),
-    ).orderBy(F.when(F.col("severity") == "act", 0).otherwise(1), "delta_pct", "id")
+    )

@@ -48,6 +48,8 @@ def local_session(cores: str = "*", name: str = "bandwise") -> SparkSession:
         .appName(name)
         .config("spark.driver.memory", os.environ.get("BANDWISE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        # call-site capture costs several driver round trips per column function
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

@@ -38,9 +38,10 @@ def import_manual(spark: SparkSession, path: str) -> DataFrame:
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
     """Alias dictionary file {"aliases": {canonical: [alias, ...]}} as (alias, canonical)."""
     doc = spark.read.schema("aliases map<string,array<string>>").option("multiLine", True).json(path)
-    return doc.select(F.explode("aliases").alias("canonical", "names")).select(
-        F.lower(F.trim(F.explode("names"))).alias("alias"), "canonical"
+    rows = doc.select(F.explode("aliases").alias("canonical", "names")).select(
+        "canonical", F.explode("names").alias("name")
     )
+    return rows.select(F.lower(F.trim("name")).alias("alias"), "canonical")
 
 
 def read_year_table(spark: SparkSession, path: str) -> DataFrame:

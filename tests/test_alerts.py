@@ -29,7 +29,7 @@ def test_unparsable_time_is_not_new(spark):
     (0, 90000, False), (100.0, 95.01, False),
 ])
 def test_price_drop(spark, old, new, want):
-    df = spark.createDataFrame([(old and float(old), new and float(new))], "o double, n double")
+    df = spark.createDataFrame([(None if old is None else float(old), None if new is None else float(new))], "o double, n double")
     assert df.select(A.is_price_drop(F.col("o"), F.col("n"))).first()[0] is want
 
 
