@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bandwise import adapters as A
+from bandwise.functions import dictionaries as D
+from bandwise.operators.normalizing import normalize_records
 from bandwise.plans import oracle_sql as O
 from bandwise.plans.band_queries import current_bands
 from bandwise.plans.extract_queries import PAGES, expected
 from bandwise.plans.merge_queries import _CHANGES, _LOG
+from bandwise.plans.normalize_queries import ADS, choose, sql_classes, sql_generation
 from bandwise.plans.registry import query
 from bandwise.sources import files, links, snapshots
 from bandwise.sources import parsing as P
@@ -129,6 +132,27 @@ def csv_exchange(spark, sf):
     return files.read_csv(spark, folder, bands.schema)
 
 
+_MANUAL = choose(A.PHRASES, "doc_id")
+
+
+@query("src11_manual_import", f"""WITH {ADS}, m AS (SELECT *, ' ' || {_MANUAL} AS words FROM ads)
+SELECT source_url, year, {sql_generation('year', 'words')} AS generation,
+  {sql_classes("coalesce(nullif(transmission_raw, ''), words)", D.TRANSMISSION_PATTERNS)} AS transmission FROM m""")
+def manual_import(spark, sf):
+    """Hand-collected records through CSV files into the normalization."""
+    folder = S.run_folder(spark, "manual")
+    none = F.lit(None).cast("string")
+    sheet = A.ads(spark, sf).select(
+        "source_url", "year", none.alias("generation"), F.col("body_style_raw").alias("body_style"),
+        none.alias("trim"), F.col("transmission_raw").alias("transmission"), "exterior_color_raw", "mileage",
+        F.col("final_price").cast("double").alias("asking_price"), none.alias("currency"),
+        A.pick(A.PHRASES, F.col("doc_id")).alias("description_raw"), "listing_date",
+        F.col("seller_type_raw").alias("seller_type"), none.alias("location"))
+    files.export_csv(sheet, folder)
+    records = normalize_records(files.import_manual(spark, folder))
+    return records.select("source_url", "year", "generation", "transmission")
+
+
 @query("src12_replay", expected("CASE WHEN y BETWEEN 1965 AND 1999 OR (strict AND y BETWEEN 1960 AND 1999) THEN y END AS year"))
 def replay(spark, sf):
     """Extraction over an archive with an older, emptied snapshot of every page."""
