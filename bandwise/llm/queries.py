@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwise.llm import simhash
+from bandwise.llm import lsh, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,7 +16,12 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, folder, "documents"))
 
 
+def op9_embedding_links(spark: SparkSession, folder: str) -> DataFrame:
+    return lsh.embedding_links(_table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op9_embedding_links": op9_embedding_links,
 }
 ORACLES: dict[str, str] = {}
