@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwise.llm import lsh, simhash
+from bandwise.llm import chat, hilbert, lsh, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,12 +16,22 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, folder, "documents"))
 
 
+def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return hilbert.hilbert_shards(_table(spark, folder, "documents"))
+
+
+def op5_snapshot_chats(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.render_chats(_table(spark, folder, "conversations"))
+
+
 def op9_embedding_links(spark: SparkSession, folder: str) -> DataFrame:
     return lsh.embedding_links(_table(spark, folder, "embeddings"))
 
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op4_hilbert_shards": op4_hilbert_shards,
+    "op5_snapshot_chats": op5_snapshot_chats,
     "op9_embedding_links": op9_embedding_links,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_snapshot_chats": chat.ORACLE}
