@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwise.llm import chat, hilbert, lsh, simhash
+from bandwise.llm import chat, decontam, hilbert, lsh, simhash
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, folder, "documents"))
 
@@ -29,6 +33,7 @@ def op9_embedding_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_spaced_seeds": op1_spaced_seeds,
     "op2_simhash": op2_simhash,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_snapshot_chats": op5_snapshot_chats,
