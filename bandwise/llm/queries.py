@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwise.llm import chat, decontam, hilbert, lsh, simhash
+from bandwise.llm import chat, decontam, hilbert, lsh, simhash, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, folder, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op4_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert.hilbert_shards(_table(spark, folder, "documents"))
 
@@ -35,6 +39,7 @@ def op9_embedding_links(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_simhash": op2_simhash,
+    "op3_toxicity": op3_toxicity,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_snapshot_chats": op5_snapshot_chats,
     "op9_embedding_links": op9_embedding_links,
