@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from bandwise.llm import chat, decontam, hilbert, lsh, simhash, toxicity
+from bandwise.llm import chat, decontam, hilbert, lsh, packing, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +31,16 @@ def op5_snapshot_chats(spark: SparkSession, folder: str) -> DataFrame:
     return chat.render_chats(_table(spark, folder, "conversations"))
 
 
+def op7_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.best_fit(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_warc_members(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.page_records(_table(spark, folder, "pages")).drop("member_offset", "member_length")
+
+
 def op9_embedding_links(spark: SparkSession, folder: str) -> DataFrame:
     return lsh.embedding_links(_table(spark, folder, "embeddings"))
 
@@ -42,6 +51,8 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_snapshot_chats": op5_snapshot_chats,
+    "op7_best_fit": op7_best_fit,
+    "op8_warc_members": op8_warc_members,
     "op9_embedding_links": op9_embedding_links,
 }
-ORACLES: dict[str, str] = {"op5_snapshot_chats": chat.ORACLE}
+ORACLES: dict[str, str] = {"op5_snapshot_chats": chat.ORACLE, "op8_warc_members": warc.ORACLE}
