@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bandwise.llm import chat, decontam, hilbert, lsh, packing, simhash, toxicity, warc
+from bandwise.llm import chat, decontam, hilbert, lsh, packing, simhash, suffixes, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_snapshot_chats(spark: SparkSession, folder: str) -> DataFrame:
     return chat.render_chats(_table(spark, folder, "conversations"))
 
 
+def op6_suffix_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.deduplicated(_table(spark, folder, "documents")).drop("kept")
+
+
 def op7_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_snapshot_chats": op5_snapshot_chats,
+    "op6_suffix_levels": op6_suffix_levels,
     "op7_best_fit": op7_best_fit,
     "op8_warc_members": op8_warc_members,
     "op9_embedding_links": op9_embedding_links,
