@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +17,8 @@ from bandwise.llm.common import written
 MATCH = 100
 #: Strings of MATCH bytes meet by the least hash among their strings of GRAM bytes.
 GRAM = 24
-#: Windows that one shard's index family is planned for; an anchor with more of them is dealt by window.
-SHARD_WINDOWS = 150_000
+#: Windows that one shard's index family is planned for; an anchor with more than CROWDED is dealt by window content.
+SHARD_WINDOWS, CROWDED = 150_000, 20_000
 #: Differing neighbourhoods of one anchor in one batch after which they skip the meeting by anchor.
 LOCAL_HOT = 64
 _CHUNK = 1 << 20
@@ -239,71 +240,109 @@ class IndexFamily:
         return found
 
 
+_STRETCHES = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+
+
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bytes, id, start) of one shard in document order: the stretches (id, first, end) that start earlier too."""
+    """Rows (id, pieces, starts, known) of one shard in document order: per row, the stretches that start earlier too."""
     family = IndexFamily()
+    last = None
     for batch in batches:
         for low in range(0, len(batch), 1024):
             part = batch.slice(low, 1024)
-            strings = part.column(0).to_pylist()
-            doc, start = part.column(1).to_numpy(), part.column(2).to_numpy()
-            many = np.array([len(s) - MATCH + 1 for s in strings])
-            raw = np.frombuffer(b"".join(strings), dtype=np.uint8) + np.uint8(1)  # no byte of UTF-8 is 255
-            own = np.repeat(np.arange(len(strings)), many)
-            nth = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
-            at = nth + np.repeat(np.cumsum(many + MATCH - 1) - (many + MATCH - 1), many)
-            views = np.lib.stride_tricks.sliding_window_view(raw, MATCH)
-            for a in range(0, len(own), SHARD_WINDOWS):
-                b = min(a + SHARD_WINDOWS, len(own))
-                windows = np.ascontiguousarray(views[at[a:b]]).view(f"S{MATCH}").ravel()
-                place_doc, place = doc[own[a:b]], start[own[a:b]] + nth[a:b]
-                order = np.lexsort((place, place_doc))
-                again = np.empty(b - a, dtype=bool)
-                again[order] = family.add(windows[order])
-                edge = np.append(True, (own[a + 1:b] != own[a:b - 1]))
+            ids, heads = part.column(0).to_numpy(), [k.as_py() for k in part.column(4)]
+            fresh = []  # a row that repeats belongs to a repeated document
+            for r in zip(ids.tolist(), heads, strict=True):
+                fresh.append(r != last)
+                last = r
+            part = part.filter(pa.array(fresh))
+            ids = part.column(0).to_numpy()
+            out: list[list] = [[{"first": k, "end": k + MATCH} for k in known] for known in part.column(3).to_pylist()]
+            strings = part.column(1).flatten().to_pylist()
+            if strings:
+                start = part.column(2).flatten().to_numpy()
+                row = np.repeat(np.arange(len(part)), pa.compute.list_value_length(part.column(1)).to_numpy())
+                many = np.array([len(s) - MATCH + 1 for s in strings])
+                raw = np.frombuffer(b"".join(strings), dtype=np.uint8) + np.uint8(1)  # no byte of UTF-8 is 255
+                own = np.repeat(np.arange(len(strings)), many)
+                nth = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+                at = nth + np.repeat(np.cumsum(many + MATCH - 1) - (many + MATCH - 1), many)
+                place = start[own] + nth
+                order = np.lexsort((place, ids[row[own]]))
+                own, at, place = own[order], at[order], place[order]
+                views = np.lib.stride_tricks.sliding_window_view(raw, MATCH)
+                again = np.concatenate([
+                    family.add(np.ascontiguousarray(views[at[k:k + SHARD_WINDOWS]]).view(f"S{MATCH}").ravel())
+                    for k in range(0, len(own), SHARD_WINDOWS)])
+                edge = np.append(True, (own[1:] != own[:-1]))
                 opens = again & (edge | ~np.append(False, again[:-1]))
                 closes = again & (np.append(edge[1:], True) | ~np.append(again[1:], False))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(place_doc[opens]), pa.array(place[opens]), pa.array(place[closes] + MATCH)], ["id", "first", "end"])
+                for r, first, end in zip(row[own[opens]].tolist(), place[opens].tolist(), place[closes].tolist(), strict=True):
+                    out[r].append({"first": first, "end": end + MATCH})
+            some = [k for k, x in enumerate(out) if x]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array([out[k] for k in some], _STRETCHES)],
+                                             ["id", "stretches"])
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text, [(key, start, windows, hot)]): the bytes of the doubtful neighbourhoods."""
+    """Rows (id, text, [(key, start, windows, parts)]): the bytes of the doubtful neighbourhoods. Those of a crowded
+    anchor are dealt to `parts` shards by window content, and a window that an earlier one of the batch equals is
+    known to repeat without travelling."""
+    kinds = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64())
     for batch in batches:
-        shard, strings, ids, starts = [], [], [], []
-        for i, text, spots in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            body = text.as_py()
-            for s in spots.as_py():
-                piece = body[s["start"]:s["start"] + s["windows"] + MATCH - 1]
-                for at in range(s["windows"] if s["hot"] else 1):
-                    part = piece[at:at + MATCH] if s["hot"] else piece
-                    if len(part) >= MATCH:  # shorter only where an id has several texts
-                        shard.append(s["key"] ^ int.from_bytes(hashlib.blake2b(part, digest_size=7).digest()) if s["hot"] else s["key"])
-                        strings.append(part)
-                        ids.append(i)
-                        starts.append(s["start"] + at)
-        yield pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), *[pa.array(c, pa.int64()) for c in (ids, starts, shard)]],
-                                         ["bytes", "id", "start", "shard"])
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        seen: dict[bytes, tuple] = {}
+
+        def put(*row: object, out: tuple[list, ...] = out) -> None:
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+
+        ids = batch.column(0).to_pylist()
+        for k in sorted(range(len(ids)), key=ids.__getitem__):
+            body = batch.column(1)[k].as_py()
+            for s in sorted(batch.column(2)[k].as_py(), key=lambda s: s["start"]):
+                start, parts = s["start"], s["parts"]
+                piece = body[start:start + s["windows"] + MATCH - 1]
+                if len(piece) < MATCH:  # only where an id has several texts
+                    continue
+                if parts == 1:
+                    put(ids[k], [piece], [start], [], start, s["key"])
+                    continue
+                dealt: dict[int, tuple[list, list, list]] = {}
+                for at in range(len(piece) - MATCH + 1):
+                    window = piece[at:at + MATCH]
+                    digest = hashlib.blake2b(window, digest_size=16).digest()
+                    to = dealt.setdefault(int.from_bytes(digest[:6]) % parts, ([], [], []))
+                    if seen.setdefault(digest, (ids[k], start + at)) != (ids[k], start + at):
+                        to[2].append(start + at)
+                    else:
+                        to[0].append(window)
+                        to[1].append(start + at)
+                for part, (windows, starts, known) in dealt.items():
+                    put(ids[k], windows, starts, known, min(starts + known), s["key"] ^ (part * 0x9E3779B97F4A7C1 & (1 << 62) - 1))
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)],
+                                         ["id", "pieces", "starts", "known", "head", "shard"])
 
 
 def repeated_stretches(docs: DataFrame) -> DataFrame:
-    """(id, first, end) byte stretches of (id, text binary), none null, to be removed; stretches may overlap."""
+    """(id, stretches [(first, end)]) of bytes to be removed from (id, text binary), none null; several rows for an
+    id, and stretches may overlap."""
     mapped = docs.mapInArrow(_mapped, _SCHEMA)
     dealt = mapped.repartition("route").sortWithinPartitions("key", "content", "id", "start")
     found = written(dealt.mapInArrow(_classified, "key long, id long, start long, windows long, kind int"))
-    doubtful = found.where(F.col("kind") == DOUBTFUL).select("key", "id", "start", "windows").distinct()
-    doubtful = written(doubtful)
+    doubtful = written(found.where(F.col("kind") == DOUBTFUL).select("key", "id", "start", "windows").distinct())
     total = doubtful.agg(F.sum("windows")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WINDOWS))
-    crowded = doubtful.groupBy("key").agg(F.sum("windows").alias("all")).where(F.col("all") > SHARD_WINDOWS // 4)
-    spots = doubtful.join(crowded.select("key", F.lit(True).alias("hot")), "key", "left").groupBy("id").agg(
-        F.collect_list(F.struct("key", "start", "windows", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spots"))
+    crowded = doubtful.groupBy("key").agg(F.sum("windows").alias("all")).where(F.col("all") > CROWDED)
+    spots = doubtful.join(crowded.select("key", (F.ceil(F.col("all") / CROWDED) + 1).alias("parts")), "key", "left").groupBy(
+        "id").agg(F.collect_list(F.struct("key", "start", "windows", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("spots"))
     strings = docs.join(spots, "id").select("id", "text", "spots").mapInArrow(
-        _cut_out, "bytes binary, id long, start long, shard long")
-    indexed = strings.repartition(shards, "shard").sortWithinPartitions("id", "start").mapInArrow(
-        _indexed, "id long, first long, end long")
-    sure = found.where(F.col("kind") == REPEATED).select(
-        "id", F.col("start").alias("first"), (F.col("start") + F.col("windows") + MATCH - 1).alias("end"))
+        _cut_out, "id long, pieces array<binary>, starts array<long>, known array<long>, head long, shard long")
+    indexed = (strings.repartition(shards, "shard").sortWithinPartitions("id", "head")
+               .select("id", "pieces", "starts", "known", "head")
+               .mapInArrow(_indexed, "id long, stretches array<struct<first: long, end: long>>"))
+    end = (F.col("start") + F.col("windows") + MATCH - 1).alias("end")
+    sure = found.where(F.col("kind") == REPEATED).select("id", F.array(F.struct(F.col("start").alias("first"), end)).alias("stretches"))
     return sure.union(indexed)
 
 
@@ -324,7 +363,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     stretches = repeated_stretches(rows.where("id is not null")).groupBy("id").agg(
-        F.array_sort(F.collect_set(F.struct("first", "end"))).alias("stretches"))
+        F.array_sort(F.flatten(F.collect_list("stretches"))).alias("stretches"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
