@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bandwise.llm import chat, decontam, hilbert, lsh, packing, simhash, suffixes, toxicity, warc
+from bandwise.llm import chat, decontam, hilbert, html, lsh, packing, simhash, suffixes, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op9_embedding_links(spark: SparkSession, folder: str) -> DataFrame:
     return lsh.embedding_links(_table(spark, folder, "embeddings"))
 
 
+def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    return html.main_texts(pages, html.train(pages))
+
+
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_simhash": op2_simhash,
@@ -59,5 +64,6 @@ QUERIES = {
     "op7_best_fit": op7_best_fit,
     "op8_warc_members": op8_warc_members,
     "op9_embedding_links": op9_embedding_links,
+    "op10_main_text": op10_main_text,
 }
 ORACLES: dict[str, str] = {"op5_snapshot_chats": chat.ORACLE, "op8_warc_members": warc.ORACLE}
