@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,32 +19,62 @@ from bandwise.llm.common import ranked, written
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
-#: Words whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Words, and lower-case parts of words, whose ids a worker remembers.
+REMEMBERED, REMEMBERED_PARTS = 300_000, 800_000
 _WORD = re.compile(r"[^ \t\n\r]+")
+_LATIN = re.compile(r"[!-~\u00a1-\u024f]+").fullmatch
+#: How this vocabulary cuts a lower-case word before its merges; all white space is gone by then.
+_PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+def _byte_signs() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, other bytes follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class WordIds:
-    """Token ids of whole texts, as little-endian bytes. The tokenizer never merges across white space, so a text's ids
-    are those of its words, and frequent words are encoded once."""
+    """Token ids of whole texts, as little-endian bytes.
+
+    The tokenizer never merges across white space, so a text's ids are those of its words, and a word's are those of
+    the parts between which it never merges either; both are remembered. Parts of printable words in Latin letters,
+    which need no normalisation but lower case, go to the tokenizer's merges at once, all other words to the tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.parts, self.signs = Tokenizer.from_file(path), {}, {}, _byte_signs()
+        self.merges = self.tokenizer.model
+
+    def _word(self, word: str) -> bytes:
+        if "<|" in word or not _LATIN(word):
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        out = []
+        for part in _PART.findall(word.lower()):
+            ids = self.parts.get(part)
+            if ids is None:
+                if len(self.parts) >= REMEMBERED_PARTS:
+                    self.parts.clear()
+                found = self.merges.tokenize(part.encode().decode("latin-1").translate(self.signs))
+                ids = self.parts[part] = array("I", [t.id for t in found]).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def __call__(self, text: str | None) -> bytes:
         words = _WORD.findall(text or "")
         known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        return b"".join(map(known.__getitem__, words))
+        out = []
+        for w in words:
+            ids = known.get(w)
+            if ids is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                ids = known[w] = self._word(w)
+            out.append(ids)
+        return b"".join(out)
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
