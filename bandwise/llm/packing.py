@@ -52,8 +52,14 @@ class WordIds:
     def _word(self, word: str) -> bytes:
         if "<|" in word or not _LATIN(word):
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if word.isalpha():
+            parts = (word.lower(),)
+        elif word[-1] in ".,;:!?" and word[:-1].isalpha():
+            parts = (word[:-1].lower(), word[-1])
+        else:
+            parts = _PART.findall(word.lower())
         out = []
-        for part in _PART.findall(word.lower()):
+        for part in parts:
             ids = self.parts.get(part)
             if ids is None:
                 if len(self.parts) >= REMEMBERED_PARTS:

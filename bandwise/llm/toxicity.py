@@ -16,7 +16,7 @@ GRAMS = (3, 4, 5, 6)
 #: Words averaged together; a text's score is that of its most toxic window.
 WINDOW = 4
 #: Bounds of the labelled sample that the model is fitted on: texts of each label, and bytes in all.
-SAMPLE_TEXTS, SAMPLE_BYTES = 2_000, 8 << 20
+SAMPLE_TEXTS, SAMPLE_BYTES = 2_000, 5 << 20
 THRESHOLD = 0.3
 _SPACE = 32
 _KEEP = bytes(c if c >= 128 or chr(c).isalnum() else _SPACE for c in range(256))
