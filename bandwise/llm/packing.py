@@ -52,12 +52,13 @@ class WordIds:
     def _word(self, word: str) -> bytes:
         if "<|" in word or not _LATIN(word):
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if word.isalpha():
-            parts = (word.lower(),)
-        elif word[-1] in ".,;:!?" and word[:-1].isalpha():
-            parts = (word[:-1].lower(), word[-1])
+        low = word.lower()
+        if low.isalpha():
+            parts = (low,)
+        elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+            parts = (low[:-1], low[-1])
         else:
-            parts = _PART.findall(word.lower())
+            parts = _PART.findall(low)
         out = []
         for part in parts:
             ids = self.parts.get(part)

@@ -32,7 +32,7 @@ def op5_snapshot_chats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_suffix_levels(spark: SparkSession, folder: str) -> DataFrame:
-    return suffixes.deduplicated(_table(spark, folder, "documents")).drop("kept")
+    return suffixes.deduplicated(_table(spark, folder, "documents")).drop("kept", "row")
 
 
 def op7_best_fit(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -346,8 +346,9 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     return sure.union(indexed)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay).
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay) and row (a
+    struct of the columns to carry along, and of the id).
 
     A byte goes if a 100-byte string over it also starts at a smaller id or earlier in the same text. Runs of
     neighbouring 100-byte windows meet by their anchor hash. Equal runs settle each other by 128 bits of hash; where an
@@ -361,8 +362,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     an id lose nothing and remove nothing. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"),
-                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    stretches = repeated_stretches(rows.where("id is not null")).groupBy("id").agg(
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
+                       F.struct(id_col, *[c for c in carry if c != id_col]).alias("row"))
+    stretches = repeated_stretches(rows.where("id is not null").select("id", "text")).groupBy("id").agg(
         F.array_sort(F.flatten(F.collect_list("stretches"))).alias("stretches"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,8 +390,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for column, value in zip(out, (len(body), removed, spans, hashlib.sha256(rest).hexdigest(), rest), strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]],
-                                             ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)], batch.column(3)],
+                ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "row"])
 
-    return rows.join(stretches, "id", "left").select("id", "text", "stretches").mapInArrow(
-        run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
+    found = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    return rows.join(stretches, "id", "left").select("id", "text", "stretches", "row").mapInArrow(
+        run, f"{found}, row {rows.schema['row'].dataType.simpleString()}").withColumnRenamed("id", id_col)
