@@ -14,7 +14,7 @@ def pct_of(value: Column, base: Column) -> Column:
     """(value - base) / base in percent to one decimal, halves away from zero; null on base 0."""
     base = base.cast("double")
     raw = F.try_divide(value.cast("double") - base, base) * 100
-    return F.round(raw.cast("decimal(18,6)"), 1).cast("double")
+    return F.round(raw.cast("decimal(38,16)"), 1).cast("double")
 
 
 def ask_vs_median(ask: Column, median: Column, insufficient: Column, mode: str) -> Column:

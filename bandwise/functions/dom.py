@@ -31,9 +31,10 @@ class Pick:
 
     selectors: "tag.class.class" steps separated by blanks (a class may be negated with "!", an
     id is written "#id"). take: "first" element of the first selector that hits, "any" to skip
-    empty hits as well, "all" elements of every selector, "all_first" of the first that hits.
-    text: "tight", "spaced" or "raw"; "@name" for an attribute; "after" for the text that
-    follows the element.
+    empty hits as well, "all" elements of every selector, "each" the first element of every
+    selector, "all_first" of the first that hits.
+    text: "tight", "spaced" or "raw"; "@name" for an attribute; "price" for the first
+    piece of text with a dollar amount, from the element on.
     """
 
     selectors: tuple[str, ...]
@@ -108,8 +109,8 @@ class _Page(HTMLParser):
     def text(self, element, how: str) -> str:
         if how.startswith("@"):
             return element.attrs.get(how[1:], "")
-        if how == "after":
-            return " ".join(self.pieces[element.end:])
+        if how == "price":  # the first amount from the element's own text on
+            return next((p for p in self.pieces[element.start:] if "$" in p and any(map(str.isdigit, p))), "")
         pieces = self.pieces[element.start:element.end]
         if how == "raw":
             return "".join(pieces)
@@ -163,6 +164,8 @@ def _picked(page: _Page, pick: Pick) -> list[str]:
         texts = [page.text(e, pick.text) for e in hits]
         if pick.take == "all":
             out += texts
+        elif pick.take == "each":
+            out += texts[:1]
         elif texts and pick.take == "first":
             return texts[:1]
         elif pick.take == "any" and texts and texts[0]:

@@ -122,10 +122,10 @@ def exterior(color: Column) -> Column:
     ).otherwise(color)
 
 
-def strip_html(html: Column, cap: int = 2000) -> Column:
-    """Markup to blanks, blanks collapsed; the stored summary keeps `cap` characters."""
+def strip_html(html: Column) -> Column:
+    """Markup to blanks, blanks collapsed."""
     spaced = F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", " "), r"(?U)\s+", " ")
-    return F.left(F.trim(spaced), F.lit(cap))
+    return F.trim(spaced)
 
 
 def slot(fragments: str, name: str) -> Column:

@@ -152,7 +152,7 @@ def lenient_date(value: Column) -> Column:
     return F.coalesce(
         *[
             F.try_to_date(value, fmt)
-            for fmt in ("yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'",
+            for fmt in ("yyyy-M-d", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:s'Z'",
                         "MMMM d, yyyy")
         ]
     )

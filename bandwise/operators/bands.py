@@ -28,7 +28,7 @@ def _price_histogram(
         usable = usable & F.col(key).isNotNull()
     rows = comps.where(usable & F.col(price).isNotNull()).select(
         *keys,
-        (F.col(price) * 100).cast("long").alias("cents"),
+        F.round(F.col(price).cast("decimal(18,4)") * 100).cast("long").alias("cents"),
         (F.col("sale_date") >= F.lit(narrow_from)).alias("narrow"),
         F.col("confidence_score").cast("decimal(6,4)").alias("conf"),
         (F.lit(1) if weight is None else weight).cast("long").alias("weight"),

@@ -156,13 +156,28 @@ def total(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"))
 
 
-def cheapest_in_cluster(view: DataFrame, keys, k: int) -> DataFrame:
-    """The k cheapest asks of each cluster, relative to its median.
+def ranked_by_steps(df: DataFrame, keys, steps, order: list[Column], name: str) -> DataFrame:
+    """Add `name`: the place of each row, from 1, within `keys` by the columns `steps` and then `order`.
 
-    Spark turns the rank filter into a per-task group limit ahead of the shuffle, so a hot
-    cluster sends at most k rows per task.
+    Counts per (keys, steps), combined before their shuffle, give each step its first place; only the rows
+    of one step are ordered together, so a hot key is spread over its steps.
     """
-    w = Window.partitionBy(*keys).orderBy(F.col("delta_pct").asc_nulls_last(), F.col("id").asc())
-    return view.where(F.col("delta_pct").isNotNull()).withColumn(
-        "cheapness_rank", F.row_number().over(w)
-    ).where(F.col("cheapness_rank") <= k)
+    counts = df.groupBy(*keys, *steps).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy(*steps).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(
+        *[F.col(c).alias(f"_f{c}") for c in (*keys, *steps)],
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+    )
+    within = Window.partitionBy(*keys, *steps).orderBy(*order)
+    placed = df.withColumn("_row", F.row_number().over(within))
+    on = F.lit(True)
+    for c in (*keys, *steps):
+        on = on & placed[c].eqNullSafe(firsts[f"_f{c}"])
+    return placed.join(firsts, on).withColumn(name, (F.col("_before") + F.col("_row")).cast("long")).drop(
+        "_row", "_before", *[f"_f{c}" for c in (*keys, *steps)])
+
+
+def cheapest_in_cluster(view: DataFrame, keys) -> DataFrame:
+    """All asks of each cluster ranked from the cheapest, relative to the cluster's median."""
+    known = view.where(F.col("delta_pct").isNotNull())
+    return ranked_by_steps(known, list(keys), ["delta_pct"], [F.col("id").asc()], "cheapness_rank")

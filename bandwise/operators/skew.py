@@ -7,10 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandwise.session import materialize
-
-BROADCAST_MAX_ROWS = 200_000
-
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the greatest by `order`. An aggregate with map-side combine, so a hot
@@ -35,17 +31,12 @@ def lookup_join(
     dim: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    max_rows: int = BROADCAST_MAX_ROWS,
 ) -> DataFrame:
     """Join a fact side to a derived side with at most one row per key.
 
-    The derived side is written once and counted. Up to `max_rows` rows it is broadcast, so
-    the facts are not shuffled at all; beyond that both sides shuffle on the key, where AQE
-    splits the hot fact partitions (each needs only one row of the other side).
+    Adaptive execution broadcasts the derived side where its measured bytes stay below the threshold;
+    otherwise both sides shuffle on the key and hot fact partitions are split.
     """
-    dim = materialize(dim)
-    if dim.count() <= max_rows:
-        dim = F.broadcast(dim)
     return facts.join(dim, list(on), how)
 
 

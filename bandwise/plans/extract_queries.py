@@ -173,8 +173,8 @@ query("x18_bids", expected("CASE WHEN source <> 'ebay' THEN bids END AS bidder_c
 query("x19_listing_date", expected("CAST(day AS VARCHAR) AS listing_date"))(_fields("listing_date"))
 
 
-@query("x20_strip_html", r"""SELECT page_id, left(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'),
-  '\s+', ' ', 'g')), 2000) AS summary FROM pages""")
+@query("x20_strip_html", r"""SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'),
+  '\s+', ' ', 'g')) AS summary FROM pages""")
 def strip_html(spark, sf):
     return A.table(spark, sf, "pages").select("page_id", X.strip_html(F.col("html")).alias("summary"))
 

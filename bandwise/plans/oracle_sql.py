@@ -18,7 +18,7 @@ SHARED = """
 """
 
 COMPS = f"""
-comps AS (SELECT *, cents / 100.0 AS sale_price, ship_day AS sale_date,
+comps AS MATERIALIZED (SELECT *, cents / 100.0 AS sale_price, ship_day AS sale_date,
   CASE WHEN tax < 6 THEN 'auction_final' WHEN tax = 6 THEN 'dealer_ask'
        WHEN tax = 7 THEN 'private_ask' ELSE 'estimate' END AS price_type,
   conf100 / 100.0 AS confidence_score
@@ -26,7 +26,7 @@ comps AS (SELECT *, cents / 100.0 AS sale_price, ship_day AS sale_date,
 """
 
 LISTINGS = f"""
-listings AS (SELECT *, cents / 100.0 AS asking_price, ship_day AS listing_date,
+listings AS MATERIALIZED (SELECT *, cents / 100.0 AS asking_price, ship_day AS listing_date,
   CASE WHEN tax = 0 THEN 'removed' WHEN tax = 1 THEN 'ended' WHEN tax = 2 THEN 'sold'
        WHEN tax = 3 THEN 'relist' ELSE 'active' END AS listing_status,
   conf100 / 100.0 AS normalization_confidence, CAST(ship_day AS TIMESTAMP) AS created_at
@@ -48,8 +48,7 @@ def band_stats(keys: str, source: str, where: str = "TRUE", days: int = 180) ->
 BANDS = f"""
 narrow AS ({band_stats('generation, body_style, transmission', 'comps', days=90)}),
 wide AS ({band_stats('generation, body_style, transmission', 'comps', days=180)}),
-bands AS (
-  SELECT s.generation || ':' || s.body_style || ':' || s.transmission AS cluster_key,
+bands AS MATERIALIZED (SELECT s.generation || ':' || s.body_style || ':' || s.transmission AS cluster_key,
     s.generation, s.body_style, s.transmission, s.window_days, s.n AS comp_count,
     round(s.p50, 4) AS median_price, round(s.p25, 4) AS p25_price, round(s.p75, 4) AS p75_price,
     s.lo / 100.0 AS min_price, s.hi / 100.0 AS max_price,
@@ -87,7 +86,7 @@ def pct(value: str, base: str) -> str:
 
 
 VIEW = f"""
-askview AS (SELECT l.*, b.median_price, b.p25_price, b.p75_price, b.min_price, b.max_price,
+askview AS MATERIALIZED (SELECT l.*, b.median_price, b.p25_price, b.p75_price, b.min_price, b.max_price,
     b.comp_count, b.insufficient_data,
     CASE WHEN b.median_price <> 0 THEN {pct('l.asking_price', 'b.median_price')} END AS delta_pct
   FROM listings l LEFT JOIN bands b USING (generation, body_style, transmission)
@@ -121,7 +120,7 @@ cand AS (
   FROM askview
   WHERE (CAST(round(old_price * 100) AS BIGINT) - cents) * 100 >= 5 * CAST(round(old_price * 100) AS BIGINT)
 ),
-stored AS (SELECT listing_id, alert_type, severity, reason, delta_pct,
+stored AS MATERIALIZED (SELECT listing_id, alert_type, severity, reason, delta_pct,
     CASE WHEN conf >= 0.97 THEN 'open' WHEN conf >= 0.94 THEN 'read' ELSE 'dismissed' END AS status,
     created_at AS triggered_at
   FROM cand, today WHERE created_at < CAST(d AS TIMESTAMP) - INTERVAL 30 DAY)

@@ -156,27 +156,23 @@ def recent_comps(spark, sf):
 @query("t5_alert_digest_order", O.with_alerts("""
 SELECT alert_type, listing_id, severity, row_number() OVER (ORDER BY
   CASE severity WHEN 'act' THEN 0 WHEN 'watch' THEN 1 WHEN 'info' THEN 2 ELSE 9 END,
-  triggered_at DESC, listing_id, alert_type) AS position FROM stored WHERE status = 'open'
-QUALIFY position <= 200"""))
+  triggered_at DESC, listing_id, alert_type) AS position FROM stored WHERE status = 'open'"""))
 def alert_digest_order(spark, sf):
-    order = [S.severity_rank(F.col("severity")).asc(), F.col("triggered_at").desc(),
-             F.col("listing_id").asc(), F.col("alert_type").asc()]
-    top = S.page(S.search_alerts(stored_alerts(spark, sf)), order, S.MAX_PAGE)
-    from pyspark.sql import Window
-
-    return top.select(
-        "alert_type", "listing_id", "severity",
-        F.row_number().over(Window.orderBy(*order)).alias("position"),
-    )
+    rows = S.search_alerts(stored_alerts(spark, sf)).withColumn("tier", S.severity_rank(F.col("severity")))
+    rows = rows.withColumn("age", -F.floor(F.unix_seconds(F.col("triggered_at").cast("timestamp")) / 3600))
+    ranked = S.ranked_by_steps(
+        rows, [], ["tier", "age"],
+        [F.col("triggered_at").desc(), F.col("listing_id").asc(), F.col("alert_type").asc()], "position")
+    return ranked.select("alert_type", "listing_id", "severity", "position")
 
 
 @query("t7_cheapest_in_cluster", O.with_alerts("""
 SELECT id, generation, body_style, transmission, delta_pct,
   row_number() OVER (PARTITION BY generation, body_style, transmission
     ORDER BY delta_pct NULLS LAST, id) AS cheapness_rank
-FROM askview WHERE delta_pct IS NOT NULL QUALIFY cheapness_rank <= 3"""))
+FROM askview WHERE delta_pct IS NOT NULL"""))
 def cheapest_in_cluster(spark, sf):
-    ranked = S.cheapest_in_cluster(view(spark, sf), CLUSTER_KEYS, 3)
+    ranked = S.cheapest_in_cluster(view(spark, sf), CLUSTER_KEYS)
     return ranked.select("id", *CLUSTER_KEYS, "delta_pct", "cheapness_rank")
 
 

@@ -24,20 +24,9 @@ RUNTIME_CONF = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings every operator here relies on.
-
-    The shuffle width is the cluster's business; only a local session left at the
-    stock 200 partitions is brought down to its own core count.
-    """
+    """Apply the runtime settings every operator here relies on."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
-    if (
-        spark.sparkContext.master.startswith("local")
-        and spark.conf.get("spark.sql.shuffle.partitions") == "200"
-    ):
-        spark.conf.set(
-            "spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism)
-        )
     return spark
 
 
@@ -54,6 +43,8 @@ def local_session(cores: str = "*", name: str = "bandwise") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return tune(spark)
 
 
@@ -65,6 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     scratch = tempfile.mkdtemp(prefix="bandwise-ckpt-")
     spark.sparkContext.setCheckpointDir(scratch)
     return scratch

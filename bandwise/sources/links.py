@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HREF = r"<a\s[^>]*?href=\"([^\"]*)\""
+HREF = r"(?i)<a\s[^>]*?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
 
 
 def site_of(url: Column) -> Column:
@@ -21,7 +21,9 @@ def clean_link(href: Column, site: Column) -> Column:
 def page_links(pages: DataFrame, item_pattern: str, html: str = "html") -> DataFrame:
     """Distinct item links per site; duplicates fall away in the map-side aggregate."""
     site = site_of(F.col("url"))
-    found = pages.select(site.alias("site"), F.explode(F.regexp_extract_all(html, F.lit(HREF), F.lit(1))).alias("href"))
+    found = pages.select(site.alias("site"), F.explode(F.regexp_extract_all(html, F.lit(HREF), F.lit(1))).alias("quoted"))
+    bare = F.regexp_replace("quoted", "^[\"']|[\"']$", "")
+    found = found.select("site", F.replace(bare, F.lit("&amp;"), F.lit("&")).alias("href"))
     return (
         found.select("site", clean_link(F.col("href"), F.col("site")).alias("link"))
         .where(F.col("link").rlike(item_pattern))

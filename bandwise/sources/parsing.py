@@ -56,15 +56,15 @@ PCARMARKET = {
     "slots": {
         "title": Pick(("h1.listing-title", "h1.auction-title", "h1.vehicle-title", "h1"), take="any", text="tight"),
         "result": Pick((".auction-result", ".sold-price", ".final-price", ".hammer-price"), text="raw"),
-        "badge": Pick((".auction-status", ".listing-status", ".badge"), take="all", text="tight"),
-        "after_badge": Pick((".auction-status", ".listing-status", ".badge"), take="all", text="after"),
+        "badge": Pick((".auction-status", ".listing-status", ".badge"), take="each", text="tight"),
+        "after_badge": Pick((".auction-status", ".listing-status", ".badge"), take="each", text="price"),
         "asks": Pick((".current-bid", ".bid-amount", ".reserve-price", ".buy-now-price"), text="raw"),
-        "bids": Pick((".bid-count", ".bids", ".num-bids"), take="all", text="raw"),
+        "bids": Pick((".bid-count", ".bids", ".num-bids"), take="each", text="raw"),
         "description": Pick((".auction-description", ".listing-description", ".vehicle-description",
                              "#description", ".description")),
         "seller": Pick((".seller-name", ".auction-seller", ".consignor"), text="tight"),
         "times": Pick(("time",), text="@datetime"),
-        "end_dates": Pick((".auction-end-date", ".end-date", ".sale-date"), take="all", text="tight"),
+        "end_dates": Pick((".auction-end-date", ".end-date", ".sale-date"), take="each", text="tight"),
     },
     "rows_and_items": True,
 }
@@ -345,7 +345,7 @@ def parse_pcarmarket(pages: DataFrame) -> DataFrame:
         seller_type_raw=F.lit("auction_house"), seller_name=X.slot_first("f", "seller"),
         bidder_count=X.bids(F.get(bid_text, F.lit(0)), X.BIDS_CLOSE),
         is_completed=F.col("completed"),
-        description_raw=F.left(X.slot_first("f", "description"), F.lit(3000)),
+        description_raw=X.slot_first("f", "description"),
     )
 
 

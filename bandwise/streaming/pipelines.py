@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,7 +82,15 @@ class PriceTracker:
             .start()
         )
         running.awaitTermination()
-        return running.lastProgress["batchId"] if running.lastProgress else -1
+        return self._last_version()
+
+    def _last_version(self) -> int:
+        """The newest version written; a drain without new rows writes none."""
+        try:
+            written = self.spark.read.parquet(f"{self.root}/state").select(F.max("v")).first()[0]
+        except AnalysisException:
+            return -1
+        return -1 if written is None else int(written)
 
     def prices(self, version: int) -> DataFrame:
         return self._state(version)

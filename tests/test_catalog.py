@@ -1,8 +1,11 @@
 import __spark_entry__ as entry_points
 
 
-def test_every_query_has_its_oracle():
-    assert set(entry_points.oracle_sql()) == set(entry_points.queries())
+def test_every_query_of_the_library_has_its_oracle():
+    from bandwise.plans import catalog
+
+    assert set(catalog.ORACLES) == set(catalog.QUERIES)
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
 def test_entry(spark):
