@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A salted slice of a class holds about this many rows.
-SLICE_ROWS = 100_000
+SLICE_ROWS = 20_000
 
 
 def shared_folder(spark: SparkSession) -> str:
