@@ -167,16 +167,19 @@ ENGINE_TEXTS = ("3.6-Liter Flat-Six", "3.2-Liter Flat-Six", "2.7 Turbo", "3.0-Li
                 "3.8 RS", "")
 PAINT_TEXTS = ("Guards Red", "Grand Prix White", "Slate Grey", "Black", "Mint Green")
 BODY_TEXTS = ("Coupe", "Targa", "Cabriolet", "Speedster", "")
+#: Pages that one task builds at most, some 150 MB.
+PAGES_PER_TASK = 50_000
 TRIM_TEXTS = ("Carrera", "Carrera 4", "SC")
 
 
 def _page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     day = F.col("o_orderdate").cast("date")
-    # A page is some fifty times wider than its order row, so the rows are spread before.
-    orders = table(spark, sf_dir, "orders").repartition(
-        spark.sparkContext.defaultParallelism, "o_orderkey"
-    )
+    # A page is some fifty times wider than its order row, so the rows are spread before. The
+    # count is read from the file footers.
+    orders = table(spark, sf_dir, "orders")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-orders.count() // PAGES_PER_TASK))
+    orders = orders.repartition(tasks, "o_orderkey")
     return orders.select(
         k.alias("k"),
         pick(SITES, k).alias("source"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandwise.operators.skew import latest_per_key, time_chunk, with_previous
@@ -14,11 +14,6 @@ from bandwise.schemas import HISTORY_TYPE, NATURAL_KEY
 KEPT_ON_UPDATE = ("created_at", "listing_status", "id", "price_history")
 
 
-def record_id(source: Column, url: Column) -> Column:
-    """Deterministic id of a natural key, so that reruns agree."""
-    return F.sha2(F.concat(source, F.lit("\x1f"), url), 256)
-
-
 def one_per_key(
     df: DataFrame, order: Sequence[str], keys: Sequence[str] = NATURAL_KEY
 ) -> DataFrame:
@@ -28,14 +23,6 @@ def one_per_key(
     return latest_per_key(df, keys, order)
 
 
-def without_key(df: DataFrame, keys: Sequence[str] = NATURAL_KEY) -> DataFrame:
-    """The rows an upsert skips."""
-    missing = F.lit(False)
-    for key in keys:
-        missing = missing | F.col(key).isNull() | (F.col(key) == "")
-    return df.where(missing)
-
-
 def appended_history(old_history, old_price, old_time, new_price) -> Column:
     """History after a new price: a changed, present price pushes the old one onto it."""
     history = F.coalesce(old_history, F.array().cast(HISTORY_TYPE))
@@ -183,18 +170,16 @@ def relists(log: DataFrame, min_gap: dt.timedelta, key: str = "listing_key") ->
     ).select(key, "event_id", "scrape_ts", F.col("prev.scrape_ts").alias("removed_ts"))
 
 
-def write_version(df: DataFrame, root: str, version: int) -> str:
-    """Write the table as a new version folder; readers switch when it is complete, and the
-    version being read is never overwritten."""
-    path = f"{root}/v={version:08d}"
-    df.write.mode("errorifexists").parquet(path)
-    return path
-
-
-def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{root}/v={version:08d}")
-
-
-def save_bucketed(df: DataFrame, name: str, buckets: int) -> None:
-    """Keep a keyed table bucketed and sorted by its key, so merges need not shuffle it."""
-    df.write.bucketBy(buckets, *NATURAL_KEY).sortBy(*NATURAL_KEY).mode("overwrite").saveAsTable(name)
+def mark_relisted(stored: DataFrame, found: DataFrame, key: str = "listing_key") -> DataFrame:
+    """Removed listings that a relist event (from `relists`) shows again get status relist and
+    the time of the newest such event; all others stay as they are."""
+    again = found.groupBy(key).agg(F.max("scrape_ts").alias("relisted_at"))
+    joined = stored.join(again, key, "left")
+    back = (F.col("listing_status") == "removed") & (F.col("relisted_at") > F.col("updated_at"))
+    return (
+        joined.withColumns({
+            "listing_status": F.when(back, "relist").otherwise(F.col("listing_status")),
+            "updated_at": F.when(back, F.col("relisted_at")).otherwise(F.col("updated_at")),
+        })
+        .drop("relisted_at")
+    )

@@ -18,14 +18,6 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in payload])
 
 
-def earliest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    payload = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*payload), F.struct(*order)).alias("_row")
-    )
-    return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in payload])
-
-
 def lookup_join(
     facts: DataFrame,
     dim: DataFrame,

@@ -90,16 +90,15 @@ query("x4_trim", expected("CASE WHEN strict THEN trim(tr || ' ' || body) ELSE tr
 FROM g WHERE source = 'bat'""")
 def item_specs(spark, sf):
     """Labelled list items of the first source as a map."""
-    rows = P.readable(A.auction_pages(spark, sf).where(F.col("source") == "bat"))
-    parsed_ = P.parse_bat(rows).select("source_url")
-    specs = rows.withColumn("f", fragments(F.col("content"), P.BAT)).select(
+    rows = P.bat_pages(A.auction_pages(spark, sf).where(F.col("source") == "bat"))
+    specs = rows.select(
         F.col("url").alias("source_url"),
         F.map_from_entries(F.transform(
             F.filter(X.slot("f", "items"), lambda t: t.contains(":")),
             lambda t: F.struct(F.lower(F.trim(F.substring_index(t, ":", 1))),
                                F.trim(F.regexp_replace(t, "^[^:]*:", ""))))).alias("m"),
     )
-    return specs.join(parsed_, "source_url", "left_semi").select(
+    return specs.select(
         "source_url", F.col("m")["chassis"].alias("chassis"),
         F.col("m")["exterior color"].alias("exterior_color"))
 

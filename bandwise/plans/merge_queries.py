@@ -12,6 +12,7 @@ from bandwise.operators import linkage as L
 from bandwise.operators import merge as M
 from bandwise.operators import quality as Q
 from bandwise.operators.normalizing import normalize_records
+from bandwise.operators.skew import latest_per_key
 from bandwise.plans import oracle_sql as O
 from bandwise.plans.band_queries import as_of
 from bandwise.plans.normalize_queries import _NORMALIZED, ADS, lit
@@ -152,6 +153,53 @@ def relists(spark, sf):
     return M.relists(A.snapshot_log(spark, sf), dt.timedelta(hours=12))
 
 
+_SIGHTINGS = """log AS (SELECT o_custkey AS listing_key, o_orderkey AS event_id, CAST(o_orderdate AS TIMESTAMP) AS scrape_ts,
+  CASE WHEN o_orderstatus = 'F' THEN 200 WHEN o_orderkey % 3 = 0 THEN 404 ELSE 200 END AS status_code FROM orders),
+p AS (SELECT *, lag(scrape_ts) OVER w AS removed_ts, lag(status_code) OVER w AS before FROM log
+  WINDOW w AS (PARTITION BY listing_key ORDER BY scrape_ts, event_id)),
+relisted AS (SELECT listing_key, event_id, scrape_ts, removed_ts FROM p
+  WHERE status_code = 200 AND before = 404 AND scrape_ts - removed_ts > INTERVAL 7 DAY)"""
+
+
+def sightings(spark, sf):
+    """Sightings over seven years, from the orders: the customer's number is the listing, and a third of the
+    orders that are not filled count as removals."""
+    gone = (F.col("o_orderstatus") != "F") & (F.col("o_orderkey") % 3 == 0)
+    return A.table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("listing_key"), F.col("o_orderkey").alias("event_id"),
+        F.col("o_orderdate").cast("timestamp").alias("scrape_ts"), F.when(gone, 404).otherwise(200).alias("status_code"))
+
+
+RELIST_GAP = dt.timedelta(days=7)
+
+
+@query("u7_relists_after_week", f"WITH {_SIGHTINGS} SELECT * FROM relisted")
+def relists_after_week(spark, sf):
+    """Listings seen again more than the documented 7 days after a removal."""
+    return M.relists(sightings(spark, sf), RELIST_GAP)
+
+
+_KNOWN_AT = dt.datetime(1998, 1, 1, tzinfo=dt.timezone.utc)
+
+
+@query("u7_relist_status", f"""WITH {_SIGHTINGS}, stored AS (SELECT listing_key, scrape_ts AS updated_at,
+  CASE WHEN status_code = 404 THEN 'removed' ELSE 'active' END AS listing_status FROM log
+  WHERE scrape_ts < TIMESTAMP '{_KNOWN_AT:%Y-%m-%d}'
+  QUALIFY row_number() OVER (PARTITION BY listing_key ORDER BY scrape_ts DESC, event_id DESC) = 1),
+again AS (SELECT listing_key, max(scrape_ts) AS back_at FROM relisted GROUP BY 1)
+SELECT s.listing_key, CASE WHEN listing_status = 'removed' AND back_at > updated_at THEN 'relist' ELSE listing_status END
+  AS listing_status, CASE WHEN listing_status = 'removed' AND back_at > updated_at THEN back_at ELSE updated_at END AS updated_at
+FROM stored s LEFT JOIN again USING (listing_key)""")
+def relist_status(spark, sf):
+    """The listing table as known on a day, after all sightings: removed listings that came back are relists."""
+    log = sightings(spark, sf)
+    newest = latest_per_key(log.where(F.col("scrape_ts") < F.lit(_KNOWN_AT)), ["listing_key"], ["scrape_ts", "event_id"])
+    stored = newest.select(
+        "listing_key", F.when(F.col("status_code") == 404, "removed").otherwise("active").alias("listing_status"),
+        F.col("scrape_ts").alias("updated_at"))
+    return M.mark_relisted(stored, M.relists(log, RELIST_GAP))
+
+
 _CHANGES = f"""WITH {_LOG}, p AS (SELECT *, lag(c) OVER w AS old_c, lag(scrape_ts) OVER w AS old_ts
   FROM log WHERE status_code = 200 WINDOW w AS (PARTITION BY listing_key ORDER BY scrape_ts, event_id)),
 changes AS (SELECT listing_key, event_id, scrape_ts, old_c, old_ts, c FROM p
@@ -216,6 +264,30 @@ def valid_rows(spark, sf):
     return good.groupBy("source").agg(F.count("*").alias("valid"))
 
 
+_COMP_RULES = [
+    ("sale price missing", "sale_price IS NULL"), ("sale price not positive", "sale_price <= 0"),
+    ("sale date missing", "sale_date IS NULL"),
+    ("confidence out of range", "confidence_score NOT BETWEEN 0 AND 1"),
+]
+
+
+@query("q1_comp_constraints", f"""WITH {O.LISTINGS}, c AS (SELECT id,
+  CASE WHEN listing_status IN ('sold', 'ended') THEN cents END AS sale_price,
+  CASE WHEN listing_status = 'sold' THEN listing_date END AS sale_date,
+  normalization_confidence AS confidence_score FROM listings),
+v AS (SELECT id, {_violations_sql(_COMP_RULES)} AS violations FROM c)
+SELECT id, violations FROM v WHERE violations <> ''""")
+def comp_constraints(spark, sf):
+    """Asks offered as comps that the comp table refuses: without a sale price or a sale date."""
+    status = F.col("listing_status")
+    offered = A.listings(spark, sf).select(
+        "id", F.when(status.isin("sold", "ended"), F.col("asking_price")).alias("sale_price"),
+        F.when(status == "sold", F.col("listing_date")).alias("sale_date"),
+        F.col("normalization_confidence").alias("confidence_score"))
+    _, bad = Q.split_by_rules(offered, Q.comp_rules())
+    return bad.select("id", F.array_join("violations", "; ").alias("violations"))
+
+
 _ENUM_RULES = [
     ("body_style unknown", f"lower(body_style_raw) NOT IN ({', '.join(map(lit, Q.S.BODY_STYLES))})"),
     ("drivetrain unknown", "drivetrain_raw NOT IN ('rwd', 'awd')"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from bandwise import adapters as A
@@ -36,11 +38,34 @@ def snapshot_scan(spark, sf):
 
 @query("src2_snapshot_sink", f"WITH {PAGES} SELECT source, count(*) AS pages FROM f WHERE turn <> 3 GROUP BY 1")
 def snapshot_sink(spark, sf):
-    """Write the archive (a year per folder here), skip empty pages, read it back."""
+    """Write the archive by source and month, skip empty pages, read it back."""
+    return _archive(spark, sf).groupBy("source").agg(F.count("*").alias("pages"))
+
+
+def _archive(spark, sf, **narrow):
     folder = S.run_folder(spark, "archive")
-    pages = A.auction_pages(spark, sf).withColumn("fetched_at", F.trunc("fetched_at", "year"))
-    snapshots.write_snapshots(pages, folder)
-    return snapshots.read_snapshots(spark, folder).groupBy("source").agg(F.count("*").alias("pages"))
+    snapshots.write_snapshots(A.auction_pages(spark, sf), folder, "month")  # seven years at once
+    return snapshots.read_snapshots(spark, folder, **narrow)
+
+
+@query("src1_archive_scan", f"""WITH {PAGES} SELECT source, day AS fetch_date, content_type, count(*) AS pages,
+  min(slug) AS first_slug FROM (SELECT *, {_SLUG.format(u='source_url')} AS slug,
+  CASE WHEN source = 'ebay' THEN 'json' ELSE 'html' END AS content_type FROM f WHERE turn <> 3) GROUP BY ALL""")
+def archive_scan(spark, sf):
+    """What the written archive holds per source and day."""
+    return _archive(spark, sf).groupBy("source", "fetch_date", "content_type").agg(
+        F.count("*").alias("pages"), F.min("slug").alias("first_slug"))
+
+
+_SINCE = dt.date(1996, 1, 1)
+
+
+@query("src1_source_scan", f"""WITH {PAGES} SELECT source_url, day AS fetch_date, {_SLUG.format(u='source_url')} AS slug
+FROM f WHERE turn <> 3 AND source = 'bat' AND day >= DATE '{_SINCE}'""")
+def source_scan(spark, sf):
+    """The archive of one source from a day on, which reads only its folders."""
+    rows = _archive(spark, sf, source="bat", since=_SINCE)
+    return rows.select(F.col("url").alias("source_url"), "fetch_date", "slug")
 
 
 @query("src3_url_slugs", f"SELECT page_id, {_SLUG.format(u='url')} AS slug FROM pages")

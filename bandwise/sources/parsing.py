@@ -102,12 +102,17 @@ def _first_ten(*texts: Column) -> Column:
     return F.left(F.coalesce(*texts), F.lit(10))
 
 
-def parse_bat(pages: DataFrame) -> DataFrame:
-    """Labelled or bare list items, result strip, price spans."""
+def bat_pages(pages: DataFrame) -> DataFrame:
+    """Readable pages of the first source with their fragments f, a title and a year."""
     rows = readable(pages).withColumn("f", fragments(F.col("content"), BAT))
     title = X.slot_first("f", "title")
     rows = rows.withColumn("title", title).withColumn("year", X.year(title, X.YEAR_FROM_1960))
-    rows = rows.where((F.col("title") != "") & F.col("year").isNotNull())
+    return rows.where((F.col("title") != "") & F.col("year").isNotNull())
+
+
+def parse_bat(pages: DataFrame) -> DataFrame:
+    """Labelled or bare list items, result strip, price spans."""
+    rows = bat_pages(pages)
 
     def entry(item):
         return F.struct(

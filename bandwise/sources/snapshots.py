@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,17 +45,31 @@ def read_archive(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def write_snapshots(pages: DataFrame, path: str) -> None:
-    """Append non-empty pages to the columnar archive, laid out by source and day so that a
-    source's job reads only its own folders."""
+def write_snapshots(pages: DataFrame, path: str, folder: str = "day") -> None:
+    """Append non-empty pages to the columnar archive, laid out by source and time so that a
+    source's job reads only its own folders. `folder` is the time one folder spans: "day" for a
+    nightly run, "month" where years are loaded at once. Rows of a folder are brought together
+    first, so it gets few files; adaptive execution splits a large folder by measured bytes."""
     day = F.col("fetched_at").cast("date")
-    pages.where(F.length("content") > 0).withColumn("fetch_date", day).withColumn(
-        "slug", url_slug(F.col("url"))
-    ).write.mode("append").partitionBy("source", "fetch_date").parquet(path)
-
-
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    rows = pages.where(F.length("content") > 0).select(
+        "*", day.alias("fetch_date"), url_slug(F.col("url")).alias("slug"),
+        F.date_trunc(folder, day).cast("date").alias("folder_from"))
+    rows.hint("rebalance", "source", "folder_from").write.mode("append").partitionBy(
+        "source", "folder_from").parquet(path)
+
+
+def read_snapshots(
+    spark: SparkSession, path: str, source: str | None = None, since: dt.date | None = None
+) -> DataFrame:
+    """The columnar archive. A source and a first day narrow the folders and row groups read."""
+    rows = spark.read.parquet(path)
+    if source is not None:
+        rows = rows.where(F.col("source") == source)
+    if since is not None:
+        # no folder spans more than a month
+        rows = rows.where((F.col("folder_from") >= F.lit(since.replace(day=1)))
+                          & (F.col("fetch_date") >= F.lit(since)))
+    return rows.drop("folder_from")
 
 
 def not_yet_archived(pages: DataFrame, archive: DataFrame) -> DataFrame:

@@ -108,3 +108,18 @@ def test_quarantine(spark):
     assert good.count() == 1
     assert sorted(r["violations"] for r in bad.collect()) == [
         ["source missing", "year out of range", "confidence out of range"], ["year missing", "mileage negative"]]
+
+
+def test_removed_listings_seen_again_are_relists(spark):
+    day = dt.timedelta(days=1)
+    log = spark.createDataFrame(
+        [(1, 1, T0, 404), (1, 2, T0 + 8 * day, 200),  # back after more than a week
+         (2, 3, T0, 404), (2, 4, T0 + 6 * day, 200),  # back too soon
+         (3, 5, T0, 200), (3, 6, T0 + 9 * day, 200)],  # never gone
+        "listing_key long, event_id long, scrape_ts timestamp, status_code int")
+    stored = spark.createDataFrame(
+        [(1, "removed", T0), (2, "removed", T0), (3, "active", T0), (4, None, T0)],
+        "listing_key long, listing_status string, updated_at timestamp")
+    found = M.relists(log, dt.timedelta(days=7))
+    rows = {r[0]: (r["listing_status"], r["updated_at"]) for r in M.mark_relisted(stored, found).collect()}
+    assert rows == {1: ("relist", T0 + 8 * day), 2: ("removed", T0), 3: ("active", T0), 4: (None, T0)}
