@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,17 @@ from bandwise.llm.common import ranked, written
 CAPACITY = 2048
 END = b"\0\0\0\0"
 #: Words, and lower-case parts of words, whose ids a worker remembers.
-REMEMBERED, REMEMBERED_PARTS = 300_000, 800_000
+REMEMBERED, REMEMBERED_PARTS = 800_000, 200_000
+#: Bytes of text that are looked up at once; a longer text is a chunk of its own.
+CHUNK = 8 << 20
 _WORD = re.compile(r"[^ \t\n\r]+")
+_LETTERS = re.compile(r"[a-z\u00e0-\u00f6\u00f8-\u00ff]+").fullmatch
+#: Of each byte: 1 white space, 2 a sign that ends words, 3 an ASCII letter.
+_KIND = np.array([1 if c in b" \t\n\r" else 2 if c in b".,;:!?" else 3 if chr(c).isalpha() and c < 128 else 0
+                  for c in range(256)], np.uint8)
+_LOWER = np.array([c | 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+#: First bytes of the marks that may combine with a letter before them (U+0300 to U+036F).
+_MARKS = np.array([0xCC, 0xCD], np.uint8)
 _LATIN = re.compile(r"[!-~\u00a1-\u024f]+").fullmatch
 #: How this vocabulary cuts a lower-case word before its merges; all white space is gone by then.
 _PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -49,6 +59,10 @@ class WordIds:
         self.tokenizer, self.known, self.parts, self.signs = Tokenizer.from_file(path), {}, {}, _byte_signs()
         self.merges = self.tokenizer.model
 
+    def _merged(self, part: str) -> bytes:
+        found = self.merges.tokenize(part.encode().decode("latin-1").translate(self.signs))
+        return array("I", [t.id for t in found]).tobytes()
+
     def _word(self, word: str) -> bytes:
         if "<|" in word or not _LATIN(word):
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
@@ -65,23 +79,58 @@ class WordIds:
             if ids is None:
                 if len(self.parts) >= REMEMBERED_PARTS:
                     self.parts.clear()
-                found = self.merges.tokenize(part.encode().decode("latin-1").translate(self.signs))
-                ids = self.parts[part] = array("I", [t.id for t in found]).tobytes()
+                ids = self.parts[part] = self._merged(part)
             out.append(ids)
         return b"".join(out)
 
-    def __call__(self, text: str | None) -> bytes:
-        words = _WORD.findall(text or "")
-        known = self.known
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and how many each has."""
+        known, letters = self.known, _LETTERS
         out = []
         for w in words:
             ids = known.get(w)
             if ids is None:
                 if len(known) >= REMEMBERED:
                     known.clear()
-                ids = known[w] = self._word(w)
+                ids = self._merged(w) if letters(w) else b"".join(map(self._word, _WORD.findall(w)))
+                known[w] = ids
             out.append(ids)
-        return b"".join(out)
+        return np.frombuffer(b"".join(out), dtype="<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text; null counts as empty.
+
+        Texts are taken side by side, some CHUNK bytes at a time, and cut around white space and before a sign that
+        ends a word, where no merge reaches across; each different cut of the chunk is looked up once. Letters are
+        made lower case before, as the tokenizer does, save where marks or special tokens might see the difference.
+        """
+        texts = pa.compute.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK, side="right")) - 1)
+            part, first = raw[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]
+            if not (np.isin(part, _MARKS).any() or ((part[:-1] == 60) & (part[1:] == 124)).any()):
+                part = _LOWER[part]
+            kind = _KIND[part]
+            cut = kind == 1
+            cut[1:] |= (kind[:-1] == 1) | ((kind[1:] == 2) & (kind[:-1] == 3))
+            cut[first[first < len(part)]] = True
+            starts = np.append(np.nonzero(cut)[0], len(part))
+            words = pa.LargeStringArray.from_buffers(
+                len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(part)).dictionary_encode()
+            flat, many = self._ids(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+            code = words.indices.to_numpy()
+            n = many[code]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            ids = flat[np.repeat((np.cumsum(many) - many)[code] - ends[:-1], n) + np.arange(ends[-1])]
+            bounds = ends[np.searchsorted(starts, first)]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                yield ids[a:b].tobytes()
+            lo = hi
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -91,8 +140,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         encode = WordIds(tokenizer)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(t.as_py()) + END
+            for i, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                ids += END
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     for column, value in zip(out, (i, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

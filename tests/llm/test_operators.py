@@ -5,6 +5,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -210,6 +211,22 @@ def test_packing(spark):
     assert packing.best_fit(docs(spark, texts).limit(0), path).count() == 0
 
 
+def test_word_ids_are_the_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [None, "", " ", "\n\t a", "a  b\r\n", "a b \x0b c\u3000d", "Don'T we'LL.'s a.b,c;;d 3.14 U.S.A.", "\"'S 'RE",
+             "E\u0301tude I\u0307 A\u030a \u0130I K\u212a \u2019Tis", "\u039f\u0394\u039f\u03a3.", "<|ENDOFTEXT|> <|endoftext|>.x",
+             "\u65e5\u672c \u8a9e", "\u00d7A\u00df \u1e9e"]
+    truth = Tokenizer.from_file(path)
+    want = [truth.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for given in (texts, *[[t] for t in texts]):  # marks and special tokens change how a whole chunk is read
+        found = packing.WordIds(path)(pa.array(given, pa.string()))
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [want[texts.index(t)] for t in given]
+    assert list(packing.WordIds(path)(pa.array([], pa.string()))) == []
+
+
 def test_plan_is_best_fit():
     for seed in range(30):
         rng = np.random.default_rng(seed)
