@@ -205,6 +205,33 @@ def incremental_prices(spark, sf):
     return tracker.prices(last)
 
 
+@query("st1_page_pipeline", f"""WITH {PAGES} SELECT source, source_url,
+  CASE WHEN state <> 'O' THEN 'comp' ELSE 'listing' END AS kind, miles AS mileage, vin, paint AS exterior_color_raw,
+  CAST(price AS DOUBLE) AS price, CASE WHEN state <> 'O' THEN day END AS sale_date,
+  CASE WHEN state = 'O' THEN CASE WHEN k % 7 = 0 THEN 'removed' ELSE 'active' END END AS listing_status
+FROM g WHERE status_code <> 404""")
+def page_pipeline(spark, sf):
+    """Pages as a stream through parsing, routing, normalization and the keyed merge. Every seventh
+    page is gone a day later; it arrives first, since only fetch times count."""
+    root = S.run_folder(spark, "pages")
+    pages = A.auction_pages(spark, sf)
+    again = pages.where(F.col("page_id") % 7 == 0).withColumns({
+        "fetched_at": F.col("fetched_at") + F.expr("interval 1 day"), "status_code": F.lit(404),
+        "content": F.lit("")})
+    again.write.parquet(f"{root}/in/part=0")
+    pages.write.parquet(f"{root}/in/part=1")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1000).parquet(f"{root}/in/*")
+    ingest = S.PageIngest(spark, root)
+    ingest.run(stream)
+    shared = ["source", "source_url", "mileage", "vin", "exterior_color_raw"]
+    listings = ingest.listings().select(
+        *shared, F.lit("listing").alias("kind"), F.col("asking_price").alias("price"), "sale_date", "listing_status")
+    comps = ingest.comps().select(
+        *shared, F.lit("comp").alias("kind"), F.col("final_price").alias("price"), "sale_date",
+        F.lit(None).cast("string").alias("listing_status"))
+    return listings.unionByName(comps)
+
+
 @query("st2_streaming_price_drops", f"""{_CHANGES}
 SELECT listing_key, event_id, scrape_ts, old_c / 100.0 AS old_price, c / 100.0 AS new_price FROM changes
 WHERE old_c > 0 AND c > 0 AND (old_c - c) * 100 >= 5 * old_c""")

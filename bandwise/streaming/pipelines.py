@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from bandwise.operators.alerts import is_price_drop
 from bandwise.operators.enrich import ask_view
+from bandwise.operators.normalizing import normalize_records
 from bandwise.operators.skew import latest_per_key, time_chunk, with_previous
+from bandwise.schemas import NATURAL_KEY
 from bandwise.session import shared_dir
+from bandwise.sources.parsing import parse_pages, routed
 
 STATE_SCHEMA = "listing_key bigint, scrape_ts timestamp, event_id bigint, price decimal(10,2)"
 
@@ -33,10 +36,10 @@ def table_stream(spark: SparkSession, folder: str, name: str, max_files: int = 1
 
 
 class PriceTracker:
-    """Last price per listing as versioned state, price drops and late rows as outputs.
+    """Last price per listing as state, price drops and late rows as outputs.
 
-    Every micro-batch joins the state of the version before it and writes the next, so a retried
-    batch overwrites its own output only. Within a batch the previous price comes from the
+    Every micro-batch joins the state of the batches before it and writes the keys it changed, so
+    writes grow with the batch and a retried batch overwrites its own output only. Within a batch the previous price comes from the
     chunked lag, so a hot listing is not one task's work. Rows not newer than the state are late:
     they are kept aside and never overwrite a newer price.
     """
@@ -45,9 +48,13 @@ class PriceTracker:
         self.spark, self.root, self.drop_pct = spark, root, drop_pct
 
     def _state(self, version: int) -> DataFrame:
-        if version < 0:
+        """Last price per listing after that batch: the newest of the rows written until then."""
+        if self._last_version() < 0:
             return self.spark.createDataFrame([], STATE_SCHEMA)
-        return self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.root}/state/v={version}")
+        rows = self.spark.read.schema(f"{STATE_SCHEMA}, v bigint").parquet(f"{self.root}/state")
+        return latest_per_key(
+            rows.where(F.col("v") <= version).drop("v"), ["listing_key"], ["scrape_ts", "event_id"]
+        )
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         columns = ["listing_key", "scrape_ts", "event_id", "price"]
@@ -70,7 +77,7 @@ class PriceTracker:
             F.col("price").alias("new_price"),
         ).write.mode("overwrite").parquet(f"{self.root}/drops/batch={batch_id}")
         latest_per_key(
-            state.unionByName(fresh.select(*columns)), ["listing_key"], ["scrape_ts", "event_id"]
+            fresh.select(*columns), ["listing_key"], ["scrape_ts", "event_id"]
         ).select(*columns).write.mode("overwrite").parquet(f"{self.root}/state/v={batch_id}")
 
     def run(self, stream: DataFrame) -> int:
@@ -105,6 +112,69 @@ class PriceTracker:
         return self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.root}/late/*")
 
 
+class PageIngest:
+    """Raw pages to listing and comp tables as they arrive: parse, route, normalize, merge.
+
+    Each micro-batch parses its pages once and writes their normalized records; a retried batch
+    overwrites its own folder, and writes grow with the batch alone. The tables are one aggregate
+    with map-side combine over the records, ordered by fetch time and not by arrival, so late pages
+    never overwrite newer ones and any split into micro-batches gives the same tables. Pages that
+    answered 404 are not parsed: they mark a known listing removed until it is seen again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        gone = F.col("status_code") == 404
+        records = normalize_records(routed(parse_pages(batch.where(~gone))))
+        removed = batch.where(gone).select(
+            "source", F.col("url").alias("source_url"), F.col("fetched_at").cast("timestamp").alias("scrape_ts"),
+            F.lit("removed").alias("route"))
+        records.unionByName(removed, allowMissingColumns=True).write.mode("overwrite").parquet(
+            f"{self.root}/records/batch={batch_id}")
+
+    def run(self, stream: DataFrame) -> None:
+        """Drain what is there."""
+        running = (
+            stream.writeStream.foreachBatch(self.process)
+            .option("checkpointLocation", f"{self.root}/progress")
+            .trigger(availableNow=True)
+            .start()
+        )
+        running.awaitTermination()
+
+    def _records(self) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.root}/records").drop("batch")
+        for key in NATURAL_KEY:
+            rows = rows.where(F.col(key).isNotNull() & (F.col(key) != ""))
+        return rows
+
+    def listings(self) -> DataFrame:
+        """One row per listing: its newest record, the time it was first seen, and its status."""
+        rows, keys = self._records(), list(NATURAL_KEY)
+        values = [c for c in rows.columns if c not in (*keys, "route")]
+        seen, at = F.col("route") == "listing", F.struct("scrape_ts", F.xxhash64(*values))
+        found = rows.where(F.col("route") != "comp").groupBy(*keys).agg(
+            F.max_by(F.when(seen, F.struct(*values)), F.when(seen, at)).alias("row"),
+            F.min(F.when(seen, F.col("scrape_ts"))).alias("created_at"),
+            F.max(F.when(~seen, F.col("scrape_ts"))).alias("gone_at"))
+        status = F.when(F.col("gone_at") >= F.col("row.scrape_ts"), "removed").otherwise("active")
+        return found.where(F.col("row").isNotNull()).select(
+            *keys, "row.*", "created_at", status.alias("listing_status"))
+
+    def comps(self) -> DataFrame:
+        """One row per sale: its first record, with the newest confidence that is not zero."""
+        rows, keys = self._records(), list(NATURAL_KEY)
+        values = [c for c in rows.columns if c not in (*keys, "route", "normalization_confidence")]
+        score = F.nullif(F.col("normalization_confidence"), F.lit(0))
+        at = F.struct("scrape_ts", F.xxhash64(*values))
+        found = rows.where(F.col("route") == "comp").groupBy(*keys).agg(
+            F.min_by(F.struct(*values), at).alias("row"),
+            F.max_by(score, F.when(score.isNotNull(), at)).alias("confidence_score"))
+        return found.select(*keys, "row.*", "confidence_score")
+
+
 def drain_to_table(stream: DataFrame, root: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Run an append stream into a parquet folder and read the result."""
     schema = stream.schema
