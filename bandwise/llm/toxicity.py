@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,13 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bandwise.llm.common import written
+
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5, 6)
 #: Words averaged together; a text's score is that of its most toxic window.
 WINDOW = 4
-#: Bounds of the labelled sample that the model is fitted on: texts of each label, and bytes in all.
+#: Bounds of the labelled sample that the model is fitted on: texts of each label, and bytes in all, half for each label;
+#: what one label leaves goes to the other.
 SAMPLE_TEXTS, SAMPLE_BYTES = 2_000, 5 << 20
+#: Texts over their share of the bytes are represented by random stretches of so many bytes.
+STRETCH = 1_000
 THRESHOLD = 0.3
 _SPACE = 32
 _KEEP = bytes(c if c >= 128 or chr(c).isalnum() else _SPACE for c in range(256))
@@ -188,11 +194,50 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) -> Mo
     return Model(worth, offset, scale / spread, prior)
 
 
+def _level(sizes: np.ndarray, room: int) -> int:
+    """The greatest length to which texts may be cut so that all of them fit."""
+    sizes = np.sort(sizes)
+    before = np.cumsum(sizes) - sizes
+    level = (room - before) // np.maximum(len(sizes) - np.arange(len(sizes)), 1)
+    short = np.nonzero(level < sizes)[0]
+    return int(max(level[short[0]], 1)) if len(short) else int(max(sizes.max(initial=1), 1))
+
+
+def _limits(sizes: list[np.ndarray], room: int) -> list[int]:
+    """The length limit of each of two labels; a label that needs less than half leaves the rest to the other."""
+    need = [int(s.sum()) for s in sizes]
+    return [_level(s, max(room // 2, room - need[1 - k])) for k, s in enumerate(sizes)]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts over `most` bytes become random stretches of whole words, in their order, of about so many bytes."""
+    for batch in batches:
+        texts = []
+        for key, text, most in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
+            raw, most = text.as_py().encode("utf-8", "surrogatepass"), most.as_py()
+            if len(raw) > most:
+                wide = min(STRETCH, most)
+                blocks = max(1, most // wide)
+                at = np.sort(np.random.default_rng(zlib.crc32(str(key.as_py()).encode())).choice(len(raw) // wide, blocks, replace=False)) * wide
+                raw = b" ".join(_whole(raw, int(a), int(a) + wide) for a in at)
+            texts.append(raw.decode("utf-8", "ignore"))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "label", "text"])
+
+
+def _whole(raw: bytes, a: int, b: int) -> bytes:
+    """The words that lie whole in raw[a:b]; all of it if there is no white space."""
+    words = raw[max(a - 1, 0):b + 1].split()
+    inner = words[int(a > 0 and not raw[a - 1:a].isspace()):len(words) - int(b < len(raw) and not raw[b:b + 1].isspace())]
+    return b" ".join(inner) or raw[a:b]
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model fitted on a bounded sample of the labelled documents outside the held-out quarter.
 
-    The sample is SAMPLE_TEXTS texts of each label, by a hash of the id, as far as SAMPLE_BYTES go. Repeated labels of
-    a document count as its greatest; null labels and documents without a text are left out.
+    The sample is SAMPLE_TEXTS texts of each label, by a hash of the id; none of them is left out for its size. Where a
+    label's texts exceed its share of SAMPLE_BYTES, its longest are cut to one common length, in random stretches.
+    Repeated labels of a document count as its greatest, of repeated texts the least counts; null labels and documents
+    without a text are left out.
     """
     named = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(
         "id is not null and label is not null and pmod(crc32(cast(cast(id as string) as binary)), 4) <> 2")
@@ -203,14 +248,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = named.where("label > 0").orderBy(*by_hash).limit(SAMPLE_TEXTS).union(
         named.where("label <= 0").orderBy(*by_hash).limit(SAMPLE_TEXTS))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    sizes = texts.join(F.broadcast(drawn), "id").select("id", F.octet_length("text").alias("size"),
-                                                        F.xxhash64("id").alias("h")).distinct().toPandas()
-    sizes = sizes.sort_values(["h", "id", "size"])
-    chosen = sizes["id"][sizes["size"].cumsum() <= SAMPLE_BYTES].tolist()
-    rows = texts.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "id long")), "id")
-    sample = (rows.join(F.broadcast(drawn), "id").withColumn("h", F.xxhash64("id")).toPandas()
-              .sort_values(["h", "id", "text"]).drop_duplicates("id"))
-    return fit(sample["text"].tolist(), (sample["label"].to_numpy() > 0).astype(int), prior)
+    picked = written(texts.join(F.broadcast(drawn), "id").groupBy("id").agg(
+        F.min("text").alias("text"), F.max((F.col("label") > 0).cast("int")).alias("label")))
+    sizes = picked.select("label", F.octet_length("text").alias("size")).toPandas()
+    limits = _limits([sizes["size"][sizes["label"] == k].to_numpy(np.int64) for k in (0, 1)], SAMPLE_BYTES)
+    limit = F.when(F.col("label") == 1, limits[1]).otherwise(limits[0])
+    sample = (picked.select("id", "label", "text", limit.cast("long").alias("most")).mapInArrow(_cut, "id long, label int, text string")
+              .withColumn("h", F.xxhash64("id")).toPandas().sort_values(["h", "id"]))
+    return fit(sample["text"].tolist(), sample["label"].to_numpy(), prior)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -157,6 +157,33 @@ def test_toxicity_learns_parts_of_words(spark):
     assert toxicity.toxicity(table.limit(0), labels).count() == 0
 
 
+def test_toxicity_with_one_huge_labelled_text(spark):
+    """A labelled text of 6 MB that comes first in hash order leaves the other texts in the sample."""
+    bad = ["grubnak", "grubnaks", "grubnakish"]
+    texts = [f"{prose(20)} {bad[k % 3] if k % 4 == 0 else ''} {prose(20)}" for k in range(400)]
+    order = spark.range(400).where("pmod(crc32(cast(cast(id as string) as binary)), 4) <> 2").orderBy(F.xxhash64("id"))
+    for huge in [next(r.id for r in order.collect() if (r.id % 4 == 0) == want) for want in (True, False)]:
+        mine = list(texts)
+        mine[huge] = " ".join([texts[huge]] * (6_000_000 // len(texts[huge])))
+        labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
+        got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs(spark, mine), labels).collect()}
+        assert np.mean([got[k] == int(k % 4 == 0) for k in range(400) if k != huge]) > 0.95
+
+
+def test_toxicity_sample_keeps_every_text():
+    few, many = np.full(10, 1_000), np.array([500] * 100 + [10**7])
+    for sizes in ([many, few], [few, many], [many, many], [few, few], [many, few[:0]]):
+        limits = toxicity._limits(sizes, 200_000)
+        kept = [np.minimum(s, m) for s, m in zip(sizes, limits, strict=True)]
+        assert sum(int(k.sum()) for k in kept) <= 200_000
+        assert all((k[s <= 1_000] == s[s <= 1_000]).all() for k, s in zip(kept, sizes, strict=True))
+    text = "äö word " * 10_000
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1], pa.int32()), pa.array([text]), pa.array([5_000])], ["id", "label", "text", "most"])
+    (out,) = toxicity._cut(iter([batch]))
+    cut = out.column(2)[0].as_py()
+    assert 4_000 <= len(cut.encode()) <= 5_100 and set(cut.split()) == {"äö", "word"}
+
+
 def test_hilbert_curve_and_shards(spark):
     cells = spark.range(8 ** 3).select((F.col("id") % 8).alias("x"), (F.floor(F.col("id") / 8) % 8).alias("y"), F.floor(F.col("id") / 64).alias("z"))
     walk = cells.select("x", "y", "z", hilbert.hilbert_index([F.col("x"), F.col("y"), F.col("z")], 3).alias("h")).orderBy("h").collect()
