@@ -2,6 +2,7 @@
 clashing column names."""
 
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -134,6 +135,38 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs(spark, texts).limit(0), items).count() == 0
 
 
+def test_masks_fit_every_accepted_substitution():
+    for n in range(decontam.SHORTEST, 17):
+        item = np.arange(1, n + 1, dtype=np.uint64)
+        wide = min(n, decontam.OVERLAP)
+        masks = decontam._whole_masks(n) if n < decontam.SPAN else decontam.MASKS
+        for many in range(wide + 1):
+            for gone in itertools.combinations(range(wide), many):
+                doc = item.copy()
+                doc[list(gone)] += np.uint64(1_000)
+                if decontam.overlap(doc[:wide], item, 0):
+                    room = 1 if n < decontam.SPAN else wide
+                    assert any(not {s + p for p in m} & set(gone) for m in masks for s in range(room) if s + m[-1] < wide), (n, gone)
+
+
+def test_decontamination_of_short_and_changed_items(spark):
+    """Every accepted substitution at an item's words is found, nothing else."""
+    texts, rows, want = [], [], set()
+    for item, n in enumerate((3, 4, 5, 6, 7, 8, 10, 13, 15)):
+        words = [f"i{item}x{k}" for k in range(n)]
+        rows.append((item, " ".join(words)))
+        for gone in [(), *[(k,) for k in range(n)], *itertools.combinations(range(n), 2), *([(1, 7, 9), (5, 7, 13)] if n == 15 else [])]:
+            mine = ["other" if k in gone else w for k, w in enumerate(words)]
+            wide = min(13, n)
+            if any(sum(k not in gone for k in range(s, s + wide)) >= 0.8 * wide for s in range(n - wide + 1)):
+                want.add((len(texts), item))
+            texts.append(f"{prose(3)} {' '.join(mine)} {prose(3)}")
+    got = decontam.contaminated(docs(spark, texts), spark.createDataFrame(rows, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    alone = decontam.contaminated(docs(spark, [rows[0][1], rows[2][1]]), spark.createDataFrame(rows, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in alone.collect()} == {(0, 0), (1, 2)}
+
+
 def test_toxicity_learns_parts_of_words(spark):
     bad = ["grubnak", "grubnaks", "grubnakish", "vorpelin", "vorpelins"]
     texts, toxic = [], []
