@@ -21,17 +21,24 @@ SEGMENTS = (13, 13, 13, 13, 12)
 PAIR_BUCKET = 64
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """64-bit SimHash over word shingles, as a signed integer; no word gives 0."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The hash of every word shingle; a text of fewer words is one shingle, of none no shingle."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return np.zeros(0, "<u8")
     if len(found) < words:
         shingles = [b" ".join(found)]
     else:
         shingles = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, 42) for s in shingles), dtype="<u8", count=max(1, len(found) - words + 1))
+    return np.fromiter((digest(s, 42) for s in shingles), dtype="<u8", count=max(1, len(found) - words + 1))
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """64-bit SimHash over word shingles, as a signed integer; no word gives 0."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):  # whole texts, in pieces, so that memory stays small
         piece = hashes[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8)

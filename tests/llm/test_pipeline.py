@@ -1,5 +1,8 @@
+import numpy as np
+
 import corpus_pipeline
 import __spark_entry__ as entry_points
+from bandwise.llm import minhash
 from bandwise.llm.common import written
 
 FOLDER = "/root/testdata/sf0.001"
@@ -19,3 +22,66 @@ def test_stages_keep_the_columns(spark):
 def test_registered():
     names = set(entry_points.queries())
     assert {"pipeline"} <= names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar(a, b):
+    return a == b or bool(a and b) and len(a & b) >= 0.8 * len(a | b)
+
+
+def planted(rng):
+    """Random-word texts, copies of them with substituted words, and a crowd around one text."""
+    word = [f"w{k}" for k in range(3_000)]
+
+    def changed(text, many):
+        w = text.split()
+        for k in rng.choice(len(w), many, replace=False):
+            w[k] = f"new{rng.integers(1 << 40)}"
+        return " ".join(w)
+
+    texts = [None, "", " ", "one two", "One  two", "one three"]
+    for n, many in ((200, 1), (200, 4), (200, 9), (500, 5), (500, 10), (500, 30), (1000, 10), (1000, 20)):
+        for _ in range(12):
+            text = " ".join(word[i] for i in rng.integers(0, len(word), n))
+            texts += [text, changed(text, many)]
+    crowd = " ".join(word[i] for i in rng.integers(0, len(word), 300))
+    texts += [changed(crowd, int(rng.integers(1, 4))) for _ in range(90)]
+    passage = " ".join(word[i] for i in rng.integers(0, len(word), 150))
+    texts += [f"{passage} {' '.join(word[i] for i in rng.integers(0, len(word), 40))}" for _ in range(90)]
+    return texts
+
+
+def test_near_copies_are_those_of_brute_force(spark):
+    texts = planted(np.random.default_rng(11))
+    table = spark.createDataFrame([*enumerate(texts), (None, texts[6])], "doc_id long, text string").repartition(5)
+    sets = [shingle_set(t) for t in texts]
+    want, todo = {}, set(range(len(texts)))
+    while todo:
+        group, fresh = set(), [min(todo)]
+        while fresh:
+            x = fresh.pop()
+            group.add(x)
+            fresh += [y for y in todo - group - set(fresh) if similar(sets[x], sets[y])]
+        todo -= group
+        want |= dict.fromkeys(group, min(group))
+    got = [(r.doc_id, r.component_id) for r in minhash.near_copies(table).collect()]
+    assert (None, None) in got and len(got) == len(texts) + 1
+    assert {i: c for i, c in got if i is not None} == want
+    kept = corpus_pipeline.drop_near_copies(spark, table, FOLDER).collect()
+    assert {r.doc_id for r in kept} == set(want.values()) | {None}
+    assert minhash.near_copies(table.limit(0)).count() == 0
+
+
+def test_band_recall_at_the_limit():
+    """Pairs of similarity 0.8 to 0.82 share a key."""
+    rng = np.random.default_rng(2)
+    met = 0
+    for _ in range(1_000):
+        x = rng.integers(0, 1 << 63, 180, dtype=np.int64).astype(np.uint64)
+        y = np.concatenate([x[:162], rng.integers(0, 1 << 63, 20, dtype=np.int64).astype(np.uint64)])
+        met += bool((minhash.band_keys(np.unique(x)) == minhash.band_keys(np.unique(y))).any())
+    assert met >= 998
