@@ -20,7 +20,7 @@ GRAMS = (3, 4, 5, 6)
 WINDOW = 4
 #: Bounds of the labelled sample that the model is fitted on: texts of each label, and bytes in all, half for each label;
 #: what one label leaves goes to the other.
-SAMPLE_TEXTS, SAMPLE_BYTES = 2_000, 5 << 20
+SAMPLE_TEXTS, SAMPLE_BYTES = 2_000, 8 << 20
 #: Texts over their share of the bytes are represented by random stretches of so many bytes.
 STRETCH = 1_000
 THRESHOLD = 0.3
@@ -69,7 +69,7 @@ class Pieces:
         return a, np.minimum(a + WINDOW, self.first[text + 1]), text
 
 
-def _logits(p: Pieces, values: np.ndarray, grams: list | None = None) -> tuple[np.ndarray, ...]:
+def _logits(p: Pieces, values: np.ndarray, grams: Iterator | None = None) -> tuple[np.ndarray, ...]:
     """Windows (a, b, text) and the mean value of the n-grams in each."""
     n = len(p.raw)
     total, count = np.zeros(n + 1), np.zeros(n + 1)
@@ -117,7 +117,7 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) -> Mo
                      prior)
     rng = np.random.default_rng(seed)
     p = Pieces.of(texts)
-    grams = list(p.grams())
+    buckets = [np.where(good, bucket, np.int32(-1)) for bucket, good in p.grams()]  # -1: not within one word
     held = np.arange(len(texts)) % 5 == 4
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     soft = np.stack([rng.normal(0, 0.5, DIM), rng.normal(0, 0.5, DIM)], axis=1).astype(np.float32)
@@ -131,9 +131,9 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) -> Mo
         own = np.repeat(np.arange(len(a)), size)
         at = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + lo[own]
         out, who = [], []
-        for bucket, good in grams:
+        for bucket in buckets:
             ok = at < len(bucket)
-            ok[ok] = good[at[ok]]
+            ok[ok] = bucket[at[ok]] >= 0
             out.append(bucket[at[ok]])
             who.append(own[ok])
         return np.concatenate(out), np.concatenate(who)
@@ -170,14 +170,14 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) -> Mo
         pick = np.nonzero(mine & (rng.random(len(a)) < 24 / np.maximum(np.bincount(text, minlength=len(texts)), 24)[text]))[0]
         learn(a[pick], b[pick], text[pick], 0.15)
     for turn in range(12):
-        _, _, _, logit = _logits(p, values(), grams)
+        _, _, _, logit = _logits(p, values(), ((b, b >= 0) for b in buckets))
         order = np.lexsort((-logit, text))
         place = np.arange(len(order)) - np.searchsorted(text[order], text[order])
         wide = np.where(labels[text[order]] == 1, 1, 3)  # the worst windows of a clean text are all clean
         pick = order[(place < wide) & mine[order]]
         learn(a[pick], b[pick], text[pick], 0.1 / (1 + turn / 4))
     worth, offset = values(), float(bias[1] - bias[0])
-    _, _, _, logit = _logits(p, worth, grams)
+    _, _, _, logit = _logits(p, worth, ((b, b >= 0) for b in buckets))
     best, many = _best(logit + offset, text, len(texts)), np.bincount(text, minlength=len(texts))
     use = held & (many > 0)
     if len(set(labels[use])) < 2:

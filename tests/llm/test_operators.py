@@ -361,3 +361,10 @@ def test_main_text(spark):
         assert got[k].text == f"{w[1]} A & Bold {w[2]} {w[3]}" and got[k].n_chars == len(got[k].text)
     assert got[60].text == got[61].text == "" and len(got) == 65
     assert html.main_texts(table.limit(0), html.train(table.limit(0))).count() == 0
+
+
+def test_toxicity_sample_holds_what_the_small_corpus_labels():
+    """The labelled texts drawn from the 10,000 documents come to just under 6 MiB; none of them is to be cut."""
+    sizes = [np.full(2_000, 2_750), np.full(329, 1_700)]
+    limits = toxicity._limits(sizes, toxicity.SAMPLE_BYTES)
+    assert all((s <= m).all() for s, m in zip(sizes, limits, strict=True))
