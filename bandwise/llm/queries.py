@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bandwise.llm import chat, decontam, hilbert, html, lsh, packing, simhash, suffixes, toxicity, warc
+from bandwise.llm import audit, chat, decontam, hilbert, html, lsh, packing, runs, simhash, suffixes, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,6 +54,20 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html.main_texts(pages, html.train(pages))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.run_digests(runs.periodic_runs(_table(spark, folder, "documents"), rewrite=runs.planted))
+
+
+def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_digests(tokens.token_files(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES = {
     "op1_spaced_seeds": op1_spaced_seeds,
     "op2_simhash": op2_simhash,
@@ -65,5 +79,8 @@ QUERIES = {
     "op8_warc_members": op8_warc_members,
     "op9_embedding_links": op9_embedding_links,
     "op10_main_text": op10_main_text,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_files": op13_token_files,
 }
-ORACLES: dict[str, str] = {"op5_snapshot_chats": chat.ORACLE, "op8_warc_members": warc.ORACLE}
+ORACLES: dict[str, str] = {"op5_snapshot_chats": chat.ORACLE, "op8_warc_members": warc.ORACLE, "op11_filter_audit": audit.ORACLE}
