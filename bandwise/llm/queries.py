@@ -65,7 +65,8 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
-    return tokens.token_digests(tokens.token_files(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    written = tokens.token_files(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.token_digests(spark, written)
 
 
 QUERIES = {
