@@ -20,7 +20,7 @@ from bandwise.llm.common import shared_folder
 
 END = 2
 #: Bytes of text looked up at once, and different pieces of text whose ids a worker remembers.
-CHUNK, REMEMBERED = 8 << 20, 800_000
+CHUNK, REMEMBERED = 4 << 20, 500_000
 #: Bytes of text that one file takes, about; a file is one task's.
 FILE_BYTES = 256 << 20
 #: How the files are laid out: ids by dictionary (bit-packed codes of the ids that a row group holds), numbers as deltas
