@@ -24,11 +24,17 @@ SAMPLE_TEXTS, SAMPLE_BYTES = 2_000, 8 << 20
 #: Texts over their share of the bytes are represented by random stretches of so many bytes.
 STRETCH = 1_000
 THRESHOLD = 0.3
+#: The greatest score of a text without words, below the threshold whatever the share of toxic labels.
+EMPTY_SCORE = 0.1
 _SPACE = 32
 _KEEP = bytes(c if c >= 128 or chr(c).isalnum() else _SPACE for c in range(256))
 _CHUNK = 1 << 20
 
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(15)).astype(np.int32)
+
+
 @dataclass
 class Pieces:
     """Texts side by side: their bytes, where words begin, and which words are whose."""
@@ -56,9 +62,41 @@ class Pieces:
                 return
             h = h[:len(self.raw) - n + 1] * np.uint32(16_777_619) + self.raw[n - 1:]
             if n in GRAMS:
-                mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
                 inner = space[n - 1:len(space) - 1] - space[1:len(space) - n + 1]
-                yield (mixed >> np.uint32(15)).astype(np.int32), inner == 0
+                yield _bucket(h), inner == 0
+
+    def part(self, lo: int, hi: int) -> Pieces:
+        """The texts lo to hi - 1 alone."""
+        a, b = int(self.first[lo]), int(self.first[hi])
+        begin, end = int(self.starts[a]), int(self.starts[b])
+        return Pieces(self.raw[begin:end + 2], self.starts[a:b + 1] - begin, self.first[lo:hi + 1] - a)
+
+    def parts(self) -> Iterator[Pieces]:
+        """Some texts at a time, about _CHUNK bytes."""
+        ends = self.starts[self.first[1:]]
+        lo = 0
+        while lo < len(ends):
+            hi = max(lo + 1, int(np.searchsorted(ends, int(self.starts[self.first[lo]]) + _CHUNK, side="right")))
+            yield self.part(lo, hi)
+            lo = hi
+
+    def bag(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of all n-grams in the windows [a, b) of words, and the window of each."""
+        lo, hi = self.starts[a], self.starts[b]
+        size = hi - lo
+        own = np.repeat(np.arange(len(a)), size)
+        at = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + lo[own]
+        last = len(self.raw) - 1
+        h, inner, out, who = self.raw[at].astype(np.uint32), np.ones(len(at), bool), [], []
+        for n in range(2, GRAMS[-1] + 1):
+            letter = self.raw[np.minimum(at + n - 1, last)]
+            h = h * np.uint32(16_777_619) + letter
+            if n in GRAMS:
+                good = inner & (at + n - 1 <= last)
+                out.append(_bucket(h[good]))
+                who.append(own[good])
+            inner &= letter != _SPACE
+        return np.concatenate(out), np.concatenate(who)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first word, end word, text) of every window; a text shorter than a window is one window, an empty one none."""
@@ -69,11 +107,11 @@ class Pieces:
         return a, np.minimum(a + WINDOW, self.first[text + 1]), text
 
 
-def _logits(p: Pieces, values: np.ndarray, grams: Iterator | None = None) -> tuple[np.ndarray, ...]:
+def _logits(p: Pieces, values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Windows (a, b, text) and the mean value of the n-grams in each."""
     n = len(p.raw)
     total, count = np.zeros(n + 1), np.zeros(n + 1)
-    for bucket, good in grams or p.grams():
+    for bucket, good in p.grams():
         total[1:len(bucket) + 1] += np.where(good, values[bucket], 0)
         count[1:len(bucket) + 1] += good
     np.cumsum(total, out=total)
@@ -110,38 +148,24 @@ class Model:
 def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) -> Model:
     """Embeddings and softmax together, by Adagrad: first on random windows under their text's label, then on the
     most toxic window of each text, so that one insult in a long text counts. A fifth of the sample is kept for the
-    calibration of the score."""
+    calibration of the score. Labels of one kind only teach nothing: every text then scores EMPTY_SCORE at most, so none is
+    predicted toxic. So do texts without words, which no word can make toxic."""
     labels = np.asarray(labels)
+    empty = min(prior, EMPTY_SCORE)
     if not len(texts) or labels.min() == labels.max():
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, np.array([0.0, 0.0, -30.0 if not len(texts) or not labels.max() else 30.0]),
-                     prior)
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, np.array([0.0, 0.0, np.log(max(empty, 1e-9) / (1 - empty))]), empty)
     rng = np.random.default_rng(seed)
     p = Pieces.of(texts)
-    buckets = [np.where(good, bucket, np.int32(-1)) for bucket, good in p.grams()]  # -1: not within one word
     held = np.arange(len(texts)) % 5 == 4
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     soft = np.stack([rng.normal(0, 0.5, DIM), rng.normal(0, 0.5, DIM)], axis=1).astype(np.float32)
     bias, seen, seen_soft = np.zeros(2), np.full(BUCKETS, 1e-6), 1e-6
     balance = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
 
-    def bag(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of all n-grams in the windows [a, b) of words, and the window of each."""
-        lo, hi = p.starts[a], p.starts[b]
-        size = hi - lo
-        own = np.repeat(np.arange(len(a)), size)
-        at = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + lo[own]
-        out, who = [], []
-        for bucket in buckets:
-            ok = at < len(bucket)
-            ok[ok] = bucket[at[ok]] >= 0
-            out.append(bucket[at[ok]])
-            who.append(own[ok])
-        return np.concatenate(out), np.concatenate(who)
-
     def learn(a: np.ndarray, b: np.ndarray, text: np.ndarray, rate: float) -> None:
         nonlocal bias, seen_soft
         for part in np.array_split(rng.permutation(len(a)), max(1, len(a) // 256)):
-            bucket, who = bag(a[part], b[part])
+            bucket, who = p.bag(a[part], b[part])
             each = np.maximum(np.bincount(who, minlength=len(part)), 1)
             mean = np.zeros((len(part), DIM))
             for d in range(DIM):
@@ -164,20 +188,24 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) -> Mo
     def values() -> np.ndarray:
         return (table @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
 
-    a, b, text = p.windows()
+    def logits(worth: np.ndarray) -> np.ndarray:
+        """Of all windows, in order; a part of the texts at a time, so that memory stays small."""
+        return np.concatenate([np.zeros(0, np.float32), *[_logits(part, worth)[3].astype(np.float32) for part in p.parts()]])
+
+    a, b, text = (x.astype(np.int32) for x in p.windows())
     mine = ~held[text]
     for _ in range(3):
         pick = np.nonzero(mine & (rng.random(len(a)) < 24 / np.maximum(np.bincount(text, minlength=len(texts)), 24)[text]))[0]
         learn(a[pick], b[pick], text[pick], 0.15)
     for turn in range(12):
-        _, _, _, logit = _logits(p, values(), ((b, b >= 0) for b in buckets))
+        logit = logits(values())
         order = np.lexsort((-logit, text))
         place = np.arange(len(order)) - np.searchsorted(text[order], text[order])
         wide = np.where(labels[text[order]] == 1, 1, 3)  # the worst windows of a clean text are all clean
         pick = order[(place < wide) & mine[order]]
         learn(a[pick], b[pick], text[pick], 0.1 / (1 + turn / 4))
     worth, offset = values(), float(bias[1] - bias[0])
-    _, _, _, logit = _logits(p, worth, ((b, b >= 0) for b in buckets))
+    logit = logits(worth)
     best, many = _best(logit + offset, text, len(texts)), np.bincount(text, minlength=len(texts))
     use = held & (many > 0)
     if len(set(labels[use])) < 2:
@@ -191,7 +219,7 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, seed: int = 5) -> Mo
         grad = (x / spread).T @ (w * (q - y)) + 1e-2 * scale
         curve = (x / spread).T @ ((w * q * (1 - q))[:, None] * (x / spread)) + 1e-2 * np.eye(3)
         scale -= np.linalg.solve(curve, grad)
-    return Model(worth, offset, scale / spread, prior)
+    return Model(worth, offset, scale / spread, empty)
 
 
 def _level(sizes: np.ndarray, room: int) -> int:
@@ -260,7 +288,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, held_out, score, predicted. The model goes to every task (half a megabyte); nothing
-    is shuffled. Null texts score like empty ones, at the share of toxic labels; rows without an id are not held out."""
+    is shuffled. Null texts score like empty ones, the share of toxic labels but at most EMPTY_SCORE; rows without an id
+    are not held out. A very long text is scored whole in its task; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
