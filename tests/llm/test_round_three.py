@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from bandwise.llm import audit, runs, tokens
+from bandwise.llm import audit, runs, tokens, toxicity
 from bandwise.llm.common import shared_folder
 
 DOCS = "doc_id long, text string, lang string, id string, digest string, part string, n string, file string"
@@ -244,3 +244,26 @@ def test_layout_allows_selective_reads(spark, monkeypatch):
     assert ids == whole_ids(many.where("doc_id = 17000").first().text)
     numbers = tokens.read_tokens(spark, folder).select("doc_id", "start", "n_tokens")._jdf.queryExecution().executedPlan().toString()
     assert "ids" not in numbers
+
+
+# ---- toxicity: what the labels cannot teach
+
+
+def test_texts_without_words_and_labels_of_one_kind_stay_below_the_threshold():
+    texts = [f"some {'grubnak' if k % 2 else 'plain'} words {k}" for k in range(200)]
+    model = toxicity.fit(texts, np.arange(200) % 2, 0.5)
+    assert max(model.scores(["", None, " .. "])) <= toxicity.EMPTY_SCORE
+    for label in (0, 1):
+        assert max(toxicity.fit(texts, np.full(200, label), float(label)).scores([*texts, None])) < toxicity.THRESHOLD
+
+
+def test_parts_and_bags_read_the_same_grams():
+    texts = ["one  two three", "", None, "é longerword, x", "a b c d e f g", " "] * 3
+    whole = toxicity.Pieces.of(texts)
+    values = np.random.default_rng(1).normal(size=toxicity.BUCKETS).astype(np.float32)
+    a, b, text, logit = toxicity._logits(whole, values)
+    parts = [toxicity._logits(whole.part(k, k + 1), values)[3] for k in range(len(texts))]
+    assert np.allclose(np.concatenate(parts), logit)
+    bucket, who = whole.bag(a, b)
+    means = np.bincount(who, values[bucket], len(a)) / np.maximum(np.bincount(who, minlength=len(a)), 1)
+    assert np.allclose(means, logit)
