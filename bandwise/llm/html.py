@@ -20,7 +20,10 @@ ROUNDS, LEVELS, BINS, RATE = 24, 4, 16, 0.3
 _CHUNK = 2 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea iframe noframes xmp template svg math object audio video canvas".split())
+RAW = frozenset("script style title textarea iframe noframes xmp".split())
+#: Left out from the mark to its own end mark; a mark without one is nothing, and the page goes on behind it.
+ENCLOSED = frozenset("template svg math object audio video canvas".split())
+_ENCLOSED = re.compile(r"<(/?)(template|svg|math|object|audio|video|canvas)\b((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span "
                    "strike strong sub sup time tt u var label wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form "
@@ -73,6 +76,19 @@ def _attributes(raw: str) -> tuple[int, str]:
     return found
 
 
+def _enclosed(source: str) -> dict[int, int]:
+    """Where each enclosed element that is closed begins and ends; elements may be nested."""
+    ends, open_at = {}, {}
+    for m in _ENCLOSED.finditer(source):
+        at = open_at.setdefault(m[2].lower(), [])
+        if m[1]:
+            if at:
+                ends[at.pop()] = m.end()
+        elif not m[3].endswith("/"):
+            at.append(m.start())
+    return ends
+
+
 @dataclass
 class Nodes:
     """The nodes of many pages, parents before children, and the texts between the marks in page order."""
@@ -104,7 +120,7 @@ class Nodes:
         self.first_text.append(len(self.texts))
         root = self._node(page, -1, "html", 0, "")
         stack: list[tuple[str, int]] = [("", root)]  # (tag, node that its text belongs to)
-        links, at, texts = 0, 0, self.texts
+        links, at, texts, ends = 0, 0, self.texts, None
         while True:
             mark = _MARK.search(source, at)
             stop = mark.start() if mark else len(source)
@@ -145,6 +161,11 @@ class Nodes:
                     end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
                     at = end.end() if end else len(source)
                 continue
+            if tag in ENCLOSED:
+                if ends is None:
+                    ends = _enclosed(source)
+                at = ends.get(mark.start(), at)
+                continue
             if tag in CLOSES_P:
                 self._close(stack, frozenset(("p",)), frozenset(("table", "button")))
             elif tag in SAME_LEVEL:
@@ -396,14 +417,18 @@ def fit(pages: list[str], seed: int = 10) -> Trees:
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Trees:
-    """Trees fitted on SAMPLE_PAGES pages by a hash of their id, as far as SAMPLE_BYTES go."""
+    """Trees fitted on SAMPLE_PAGES pages by a hash of their id, less those that do not fit into SAMPLE_BYTES with the
+    ones before them. Of the rows of one id, the least html counts."""
     narrow = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html")).where("html is not null")
-    drawn = (narrow.select("id", F.octet_length("html").alias("size"), F.xxhash64("id").alias("h")).distinct()
-             .orderBy("h", "id", "size").limit(SAMPLE_PAGES).toPandas())
-    ids = drawn["id"][drawn["size"].cumsum() <= SAMPLE_BYTES].dropna().astype(int).tolist()
-    rows = narrow.where(F.col("id").isin(ids)).withColumn("h", F.xxhash64("id")).toPandas() if ids else drawn.iloc[:0].assign(html="")
-    rows = rows.sort_values(["h", "id", "html"]).drop_duplicates("id")
-    return fit(rows["html"].tolist())
+    drawn = (narrow.groupBy("id").agg(F.max(F.octet_length("html")).alias("size")).where("id is not null")
+             .orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PAGES).collect())
+    ids, room = [], SAMPLE_BYTES
+    for row in drawn:
+        if row["size"] <= room:
+            ids.append(row["id"])
+            room -= row["size"]
+    rows = narrow.where(F.col("id").isin(ids)).groupBy("id").agg(F.min("html").alias("html")).orderBy(F.xxhash64("id"), "id").collect() if ids else []
+    return fit([row["html"] for row in rows])
 
 
 def extract(sources: list[str | None], trees: Trees) -> list[str]:
@@ -421,7 +446,9 @@ def extract(sources: list[str | None], trees: Trees) -> list[str]:
 
 def main_texts(pages: DataFrame, trees: Trees, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text, n_chars. Null and empty html give an empty text; pages without any node that
-    reads like an article, too. Rows without an id and repeated rows are read like others; nothing is shuffled."""
+    reads like an article, too. Rows without an id and repeated rows are read like others; nothing is shuffled. A very
+    long page is read whole in its task; an empty table gives no rows. Unclosed elements hide nothing but what HTML lets
+    them hide (scripts, styles, frames, titles, text areas)."""
     shared = pages.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from bandwise.llm import audit, runs, tokens, toxicity
+from bandwise.llm import audit, html, runs, tokens, toxicity
 from bandwise.llm.common import shared_folder
 
 DOCS = "doc_id long, text string, lang string, id string, digest string, part string, n string, file string"
@@ -267,3 +267,31 @@ def test_parts_and_bags_read_the_same_grams():
     bucket, who = whole.bag(a, b)
     means = np.bincount(who, values[bucket], len(a)) / np.maximum(np.bincount(who, minlength=len(a)), 1)
     assert np.allclose(means, logit)
+
+
+# ---- main text: elements without an end, pages too long for the sample
+
+
+def paragraphs(source):
+    nodes = html.Nodes()
+    nodes.add(0, source)
+    return " ".join("".join(t for _, t in nodes.texts).split())
+
+
+def test_unclosed_elements_hide_nothing():
+    for tag in ("svg", "object", "video", "canvas", "audio", "math", "template"):
+        assert paragraphs(f"<p>one</p><{tag} class=x><p>two</p><p>three</p>") == "one two three"
+        assert paragraphs(f"<p>one</p><{tag}><{tag}>in</{tag}>hidden</{tag}><p>two</p>") == "one two"
+        assert paragraphs(f"<p>one</p><{tag}><p>kept</p><{tag}>in</{tag}><p>two</p>") == "one kept two"
+        assert paragraphs(f"<p>one</p><{tag}/><p>two</p></{tag}><p>three") == "one two three"
+    assert paragraphs("<p>one<script>if (a < b) x()</script></p><style>p{}") == "one"
+
+
+def test_a_page_too_long_for_the_sample_leaves_the_others(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(html, "fit", seen.extend)
+    order = [r.id for r in spark.range(40).orderBy(F.xxhash64("id")).collect()]
+    rows = [(i, "u", f"<p>{i}</p>") for i in range(40)] + [(3, "u", "<p>a</p>")] * 5 + [(None, "u", "<p>none</p>")]
+    rows[order[0]] = (order[0], "u", "<p>" + "long " * 1_000_000)
+    html.train(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    assert seen == ["<p>3</p>" if i == 3 else f"<p>{i}</p>" for i in order[1:]]
