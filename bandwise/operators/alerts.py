@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandwise import schemas as S
 from bandwise.operators.search import DIGEST_SECTIONS, alerts_order
-from bandwise.operators.skew import lookup_join
 
 ALLOWED_TRANSITIONS = (("open", "read"), ("open", "dismissed"), ("read", "dismissed"))
 BLOCKING = ("open", "read")
@@ -63,8 +63,9 @@ def candidate_alerts(
     act_pct: float = S.ACT_PCT,
     drop_pct: float = S.PRICE_DROP_PCT,
     max_age_days: int | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """All rules in one pass over the ask view: each row becomes zero or more alerts.
+    """All rules in one pass over the ask view: each row becomes zero or more alerts, with the columns to `carry`.
 
     The view carries id, source_url, listing_status, asking_price, delta_pct, median_price,
     insufficient_data, price_history and created_at. `max_age_days` limits the underpriced rule
@@ -117,6 +118,7 @@ def candidate_alerts(
     ]
     return view.select(
         F.col("id").alias("listing_id"),
+        *carry,
         F.explode(F.array_compact(F.array(*rules))).alias("a"),
     ).select(
         F.sha2(F.concat_ws("\x1f", "a.alert_type", "listing_id", F.lit(as_of.isoformat())), 256)
@@ -126,6 +128,7 @@ def candidate_alerts(
         F.lit("open").alias("status"),
         F.lit(as_of).alias("triggered_at"),
         F.lit(None).cast("timestamp").alias("notified_at"),
+        *carry,
     )
 
 
@@ -268,20 +271,22 @@ def match_saved_criteria(listings: DataFrame, criteria: DataFrame, columns) -> D
     """Listings against saved criteria, where a null criterion column accepts anything.
 
     Instead of a condition join over all pairs, each listing is repeated once per subset of the
-    columns with the others blanked, which makes it an equi-join.
+    columns that some criterion names, with the others blanked, which makes it an equi-join.
     """
     blank = F.lit("*")
+    named = [F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(columns)]
+    masks = criteria.select(sum(named, F.lit(0)).alias("mask")).distinct()  # 2 ** len(columns) at most
     variants = [
         F.struct(*[
-            (F.coalesce(F.col(c), F.lit("")) if mask >> i & 1 else blank).alias(c)
+            (F.coalesce(F.col(c), F.lit("")) if row["mask"] >> i & 1 else blank).alias(c)
             for i, c in enumerate(columns)
         ])
-        for mask in range(2 ** len(columns))
-    ]
+        for row in masks.collect()
+    ] or [F.struct(*[blank.alias(c) for c in columns])]
     expanded = listings.select(
         F.col("id").alias("listing_id"), F.explode(F.array(*variants)).alias("v")
     ).select("listing_id", *[F.col(f"v.{c}").alias(c) for c in columns])
     wanted = criteria.select(
         "criteria_id", *[F.coalesce(F.col(c), blank).alias(c) for c in columns]
     )
-    return lookup_join(expanded, wanted, columns, how="inner").select("listing_id", "criteria_id")
+    return expanded.join(wanted, list(columns)).select("listing_id", "criteria_id")

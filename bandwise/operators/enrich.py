@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwise.functions import deltas
-from bandwise.operators.skew import lookup_join
 from bandwise.schemas import CLUSTER_KEYS
 
 BAND_COLUMNS = (
@@ -21,7 +20,7 @@ def with_band(
     listings: DataFrame, bands: DataFrame, keys: Sequence[str] = CLUSTER_KEYS
 ) -> DataFrame:
     """Left join on the cluster columns; a null part never matches."""
-    return lookup_join(listings, bands.select(*keys, *BAND_COLUMNS), keys)
+    return listings.join(bands.select(*keys, *BAND_COLUMNS), list(keys), "left")
 
 
 def with_band_by_key(listings: DataFrame, bands: DataFrame) -> DataFrame:
@@ -30,7 +29,7 @@ def with_band_by_key(listings: DataFrame, bands: DataFrame) -> DataFrame:
     keyed = listings.withColumn(
         "cluster_key", F.concat(F.col(g), F.lit(":"), F.col(b), F.lit(":"), F.col(t))
     )
-    return lookup_join(keyed, bands.select("cluster_key", *BAND_COLUMNS), ["cluster_key"])
+    return keyed.join(bands.select("cluster_key", *BAND_COLUMNS), "cluster_key", "left")
 
 
 def ask_view(listings: DataFrame, bands: DataFrame, mode: str = "alert_view") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bandwise.operators.skew import lookup_join, with_previous
+from bandwise.operators.skew import with_previous
 from bandwise.schemas import CANONICAL_MODEL_SCHEMA, CANONICAL_MODELS
 
 MILEAGE_BAND = 500
@@ -32,7 +32,7 @@ def with_models_by_year(rows: DataFrame, models: DataFrame, year: str = "year")
         F.explode(F.sequence("years_start", "years_end")).alias(year),
         F.col("generation").alias("model_generation"), "common_name", "weight_tenths",
     )
-    return rows.join(F.broadcast(by_year), year, "left")  # fixed: 36 rows
+    return rows.join(by_year, year, "left")
 
 
 def with_known_trims(rows: DataFrame, models: DataFrame, generation: str, trim: str) -> DataFrame:
@@ -40,7 +40,7 @@ def with_known_trims(rows: DataFrame, models: DataFrame, generation: str, trim:
     trims = models.select(
         F.col("generation").alias(generation), F.explode("known_trims").alias(trim)
     )
-    return rows.join(F.broadcast(trims), [generation, trim], "left_semi")  # fixed: 40 rows
+    return rows.join(trims, [generation, trim], "left_semi")
 
 
 def vin_duplicates(rows: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def vin_duplicates(rows: DataFrame) -> DataFrame:
         .drop("seen")
     )
     return (
-        lookup_join(rows.where(F.col("vin").isNotNull()).select("id", "vin"), firsts, ["vin"], "inner")
+        rows.where(F.col("vin").isNotNull()).select("id", "vin").join(firsts, "vin")
         .where(F.col("id") != F.col("possible_duplicate_id"))
     )
 
@@ -154,7 +154,7 @@ def convert_prices(comps: DataFrame, rates: DataFrame, until) -> DataFrame:
     """Sale prices in the base currency at the rate in force on the sale date: an as-of join,
     turned into an equi-join on (currency, day) so that no currency is one task's work."""
     per_day = daily_rates(rates, until).withColumnRenamed("rate_date", "sale_date")
-    joined = lookup_join(comps, per_day, ["currency", "sale_date"])
+    joined = comps.join(per_day, ["currency", "sale_date"], "left")
     rate = F.when(F.col("currency") == "USD", F.lit(1)).otherwise(F.col("rate"))
     return joined.withColumn("used_rate", rate.cast("decimal(10,4)")).withColumn(
         "sale_price_usd",

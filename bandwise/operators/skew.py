@@ -18,20 +18,6 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in payload])
 
 
-def lookup_join(
-    facts: DataFrame,
-    dim: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-) -> DataFrame:
-    """Join a fact side to a derived side with at most one row per key.
-
-    Adaptive execution broadcasts the derived side where its measured bytes stay below the threshold;
-    otherwise both sides shuffle on the key and hot fact partitions are split.
-    """
-    return facts.join(dim, list(on), how)
-
-
 def time_chunk(ts: str, seconds: int = 3600) -> Column:
     return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
 

@@ -27,26 +27,16 @@ def candidates(spark, sf, asked=None):
 
 def stored_alerts(spark, sf, asked=None):
     """Alerts on file: those of listings older than 30 days, with a status by confidence. A
-    caller that has the ask view already passes it, so its bands are built once."""
+    caller that has the ask view already passes it, so its bands are built once; what the status
+    needs travels with the alert."""
     moment = now(spark, sf)
-    asked = (asked or view(spark, sf)).where(
-        F.col("created_at") < F.lit(moment - dt.timedelta(days=30))
-    )
-    made = A.candidate_alerts(asked, moment)
-    facts = adapters.listings(spark, sf).select(
-        F.col("id").alias("listing_id"), "normalization_confidence", "created_at"
-    )
+    old = F.col("created_at") < F.lit(moment - dt.timedelta(days=30))
     conf = F.col("normalization_confidence")
-    return (
-        made.drop("status", "triggered_at")
-        .join(facts, "listing_id")
-        .withColumn(
-            "status",
-            F.when(conf >= 0.97, "open").when(conf >= 0.94, "read").otherwise("dismissed"),
-        )
-        .withColumnRenamed("created_at", "triggered_at")
-        .drop("normalization_confidence")
-    )
+    made = A.candidate_alerts(
+        (asked or view(spark, sf)).where(old), moment, carry=("normalization_confidence", "created_at"))
+    return made.withColumn(
+        "status", F.when(conf >= 0.97, "open").when(conf >= 0.94, "read").otherwise("dismissed"),
+    ).withColumn("triggered_at", F.col("created_at")).drop("normalization_confidence", "created_at")
 
 
 @query("r6_alert_rules", O.with_alerts(f"SELECT {_ALERT} FROM cand"))
@@ -85,8 +75,8 @@ def reason_texts(spark, sf):
     )
 
 
-_FRESH = O.with_alerts(f"""SELECT {_ALERT} FROM cand c WHERE NOT EXISTS (SELECT 1 FROM stored s
-  WHERE s.alert_type = c.alert_type AND s.listing_id = c.listing_id AND s.status IN ('open', 'read'))""")
+_BLOCKING = ", blocking AS MATERIALIZED (SELECT DISTINCT alert_type, listing_id FROM stored WHERE status IN ('open', 'read'))"
+_FRESH = O.with_alerts(f"{_BLOCKING} SELECT {_ALERT} FROM cand ANTI JOIN blocking USING (alert_type, listing_id)")
 
 
 @query("r8_deduplicated_alerts", _FRESH)
@@ -97,21 +87,19 @@ def deduplicated_alerts(spark, sf):
     return fresh.select(*ALERT)
 
 
-@query("j5_blocked_alerts", O.with_alerts("""SELECT alert_type, listing_id FROM cand c
-WHERE EXISTS (SELECT 1 FROM stored s WHERE s.alert_type = c.alert_type
-  AND s.listing_id = c.listing_id AND s.status IN ('open', 'read'))"""))
+@query("j5_blocked_alerts", O.with_alerts(
+    f"{_BLOCKING} SELECT alert_type, listing_id FROM cand SEMI JOIN blocking USING (alert_type, listing_id)"))
 def blocked_alerts(spark, sf):
     asked = view(spark, sf)
     blocked = A.skipped_alerts(candidates(spark, sf, asked), stored_alerts(spark, sf, asked))
     return blocked.select("alert_type", "listing_id")
 
 
-@query("a6_alert_run_counters", O.with_alerts("""
+@query("a6_alert_run_counters", O.with_alerts(f"""{_BLOCKING}
 SELECT 'checked' AS outcome, count(*) AS n FROM askview
 UNION ALL
-SELECT CASE WHEN EXISTS (SELECT 1 FROM stored s WHERE s.alert_type = c.alert_type
-  AND s.listing_id = c.listing_id AND s.status IN ('open', 'read')) THEN 'skipped_dedup'
-  ELSE 'created' END, count(*) FROM cand c GROUP BY 1"""))
+SELECT CASE WHEN b.listing_id IS NOT NULL THEN 'skipped_dedup' ELSE 'created' END, count(*)
+FROM cand LEFT JOIN blocking b USING (alert_type, listing_id) GROUP BY 1"""))
 def alert_run_counters(spark, sf):
     asked = view(spark, sf)
     return A.run_counters(asked, candidates(spark, sf, asked), stored_alerts(spark, sf, asked))
@@ -247,3 +235,14 @@ def listings_with_alerts(spark, sf):
     asked = view(spark, sf)
     joined = A.with_open_alerts(asked, stored_alerts(spark, sf, asked))
     return joined.select("id", "alert_type", "severity", "status")
+
+
+@query("j4_nested_alerts", O.with_alerts("""
+SELECT v.id, string_agg(s.alert_type || '/' || s.severity || '/' || s.status, ' ' ORDER BY s.alert_type) AS alerts
+FROM askview v LEFT JOIN stored s ON s.listing_id = v.id AND s.status <> 'dismissed' GROUP BY v.id"""))
+def nested_alerts(spark, sf):
+    """The same as the listing page shows it: one row per listing with its alerts nested, here written out."""
+    asked = view(spark, sf)
+    nested = A.nest_alerts(asked, stored_alerts(spark, sf, asked))
+    texts = F.transform("alerts", lambda a: F.concat_ws("/", a["alert_type"], a["severity"], a["status"]))
+    return nested.select("id", F.array_join(texts, " ").alias("alerts"))

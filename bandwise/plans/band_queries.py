@@ -17,8 +17,15 @@ from bandwise.schemas import CLUSTER_KEYS
 from bandwise.session import latest_date
 
 
+_newest: dict[tuple[str, str], dt.date] = {}
+
+
 def as_of(spark, sf):
-    return latest_date(adapters.table(spark, sf, "lineitem"), "l_shipdate")
+    """The newest day of the table, looked up once per session and folder."""
+    run = (spark.sparkContext.applicationId, sf)
+    if run not in _newest:
+        _newest[run] = latest_date(adapters.table(spark, sf, "lineitem"), "l_shipdate")
+    return _newest[run]
 
 
 def current_bands(spark, sf, **options):

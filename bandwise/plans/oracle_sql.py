@@ -94,7 +94,7 @@ askview AS MATERIALIZED (SELECT l.*, b.median_price, b.p25_price, b.p75_price, b
 """
 
 CANDIDATES = f"""
-cand AS (
+cand AS MATERIALIZED (
   SELECT id AS listing_id, 'new_listing' AS alert_type, 'info' AS severity,
     'New listing: ' || source_url || ' — asking ' || {money('asking_price')} AS reason,
     CAST(NULL AS DOUBLE) AS delta_pct, normalization_confidence AS conf, created_at

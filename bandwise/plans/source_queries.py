@@ -18,6 +18,7 @@ from bandwise.plans.registry import query
 from bandwise.sources import files, links, snapshots
 from bandwise.sources import parsing as P
 from bandwise.streaming import pipelines as S
+from bandwise.streaming.keyed_state import KeyedPrices
 
 _SLUG = """left(trim(regexp_replace(regexp_replace({u}, 'https?://', '', 'g'), '[^a-zA-Z0-9._-]', '_', 'g'), '_'), 120)
   || '_' || left(md5({u}), 8)"""
@@ -205,6 +206,19 @@ def incremental_prices(spark, sf):
     return tracker.prices(last)
 
 
+@query("p2_keyed_prices", f"""WITH {_LOG} SELECT listing_key, event_id, scrape_ts, c / 100.0 AS price FROM log
+WHERE status_code = 200 QUALIFY row_number() OVER (PARTITION BY listing_key ORDER BY scrape_ts DESC, event_id DESC) = 1""")
+def keyed_prices(spark, sf):
+    """Last price per listing from the engine's keyed state, after the log came in three micro-batches that do not
+    follow its time."""
+    root = S.run_folder(spark, "keyed")
+    log = A.snapshot_log(spark, sf).select("listing_key", "scrape_ts", "event_id", "price", "status_code")
+    log.repartition(3, "event_id").write.parquet(f"{root}/in")
+    keyed = KeyedPrices(spark, root)
+    keyed.run(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
+    return keyed.prices()
+
+
 @query("st1_page_pipeline", f"""WITH {PAGES} SELECT source, source_url,
   CASE WHEN state <> 'O' THEN 'comp' ELSE 'listing' END AS kind, miles AS mileage, vin, paint AS exterior_color_raw,
   CAST(price AS DOUBLE) AS price, CASE WHEN state <> 'O' THEN day END AS sale_date,
