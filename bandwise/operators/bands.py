@@ -83,7 +83,26 @@ def band_table(
     """
     narrow_from = as_of - dt.timedelta(days=window_days)
     wide_from = as_of - dt.timedelta(days=max(window_days, thin_window_days))
-    hist = _price_histogram(comps, keys, narrow_from, wide_from, weight, price)
+    return bands_of_histogram(
+        _price_histogram(comps, keys, narrow_from, wide_from, weight, price), as_of,
+        window_days=window_days, thin_window_days=thin_window_days, min_size=min_size, keys=keys,
+        include_wide_only=include_wide_only, levels=levels,
+    )
+
+
+def bands_of_histogram(
+    hist: DataFrame,
+    as_of: dt.date,
+    *,
+    window_days: int = WINDOW_DAYS,
+    thin_window_days: int = THIN_WINDOW_DAYS,
+    min_size: int = MIN_CLUSTER_SIZE,
+    keys: Sequence[str] = CLUSTER_KEYS,
+    include_wide_only: bool = False,
+    levels: Sequence[Sequence[str]] | None = None,
+) -> DataFrame:
+    """The band table from counts per (cluster, cents): rows, weight, conf and nconf of the narrow
+    and the wide window, one row per cluster and price."""
     measures = [c for c in hist.columns if c not in (*keys, "cents")]
     if levels is not None:
         sets = [[F.col(k) for k in level] + [F.col("cents")] for level in levels]
@@ -210,6 +229,50 @@ def single_window_bands_by(
     )
 
 
+#: Where a thin cluster may borrow from, finest first.
+LATTICE = (CLUSTER_KEYS, CLUSTER_KEYS[:2], (CLUSTER_KEYS[0], CLUSTER_KEYS[2]), CLUSTER_KEYS[:1], ())
+
+
+def borrowed_bands(
+    asks: DataFrame, bands: DataFrame, lattice: Sequence[Sequence[str]] = LATTICE,
+    keys: Sequence[str] = CLUSTER_KEYS,
+) -> DataFrame:
+    """Asks with the finest band of the lattice that has enough comps, and the level it comes from.
+
+    `bands` holds every level of the lattice (a key left out reads '*'). The level is settled once
+    per cluster: its ancestors, one row per level, meet the sufficient bands in an equi-join, and
+    the finest match wins; the asks then join on their own cluster. A key that is null is in no
+    level that names it. An ask without any sufficient ancestor keeps nulls.
+    """
+    picked = ["level", "band_key", "comp_count", "median_price", "p25_price", "p75_price"]
+    clusters = asks.select(*keys).distinct()
+    ancestors = F.array(*[
+        F.struct(
+            F.lit(n).alias("rank"), F.lit("+".join(level) or "all").alias("level"),
+            F.concat_ws(":", *[F.col(k) if k in level else F.lit("*") for k in keys]).alias("band_key"),
+            _named(level).alias("named"),
+        )
+        for n, level in enumerate(lattice)
+    ])
+    wanted = clusters.select(*keys, F.explode(ancestors).alias("a")).select(*keys, "a.*").where("named")
+    enough = bands.where(~F.col("insufficient_data")).select(
+        F.col("cluster_key").alias("band_key"), "comp_count", "median_price", "p25_price", "p75_price")
+    found = wanted.join(enough, "band_key").groupBy(*keys).agg(
+        F.min_by(F.struct(*picked), "rank").alias("b"))
+    found = found.select(*[F.col(k).alias(f"_{k}") for k in keys], "b.*")
+    same = F.lit(True)
+    for k in keys:
+        same = same & asks[k].eqNullSafe(found[f"_{k}"])
+    return asks.join(found, same, "left").drop(*[f"_{k}" for k in keys])
+
+
+def _named(level: Sequence[str]) -> Column:
+    named = F.lit(True)
+    for k in level:
+        named = named & F.col(k).isNotNull()
+    return named
+
+
 def rollup_levels(keys: Sequence[str] = CLUSTER_KEYS) -> list[list[str]]:
     return [list(keys[:n]) for n in range(len(keys), -1, -1)]
 

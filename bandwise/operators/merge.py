@@ -48,7 +48,7 @@ def upsert_listings(
     Both sides hold one row per key. New keys are inserted; known ones take every column the
     batch provides, nulls included unless told otherwise, but keep their creation time, status,
     id and history, and a changed ask is noted in the history. One full outer join on the key;
-    when the stored table is bucketed by it, only the batch moves.
+    in a BucketedTable only the batch moves.
     """
     keys = list(NATURAL_KEY)
     new = batch.select(*keys, *[F.col(c).alias(f"new_{c}") for c in batch.columns if c not in keys],

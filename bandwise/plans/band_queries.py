@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -13,8 +14,9 @@ from bandwise.operators.alerts import underpriced_severity
 from bandwise.operators.enrich import ask_view, with_band, with_band_by_key
 from bandwise.plans import oracle_sql as O
 from bandwise.plans.registry import query
-from bandwise.schemas import CLUSTER_KEYS
-from bandwise.session import latest_date
+from bandwise.operators.histograms import DailyHistograms
+from bandwise.schemas import CLUSTER_KEYS, THIN_WINDOW_DAYS
+from bandwise.session import latest_date, run_folder
 
 
 _newest: dict[tuple[str, str], dt.date] = {}
@@ -32,6 +34,22 @@ def current_bands(spark, sf, **options):
     return B.band_table(adapters.comps(spark, sf), as_of(spark, sf), **options)
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
+def written_bands(spark, sf):
+    """Today's band table as the nightly run leaves it: daily counts and bands are written once per
+    session and folder, readers only read the bands."""
+    run = (spark.sparkContext.applicationId, sf)
+    if run not in _written:
+        root, day = run_folder(spark, "bands"), as_of(spark, sf)
+        counts = DailyHistograms(spark, f"{root}/counts")
+        counts.add(adapters.comps(spark, sf), "first", since=day - dt.timedelta(days=THIN_WINDOW_DAYS))
+        counts.bands(day).write.parquet(f"{root}/bands")
+        _written[run] = f"{root}/bands"
+    return spark.read.parquet(_written[run])
+
+
 def _one_window_sql(days):
     return f"""WITH {O.AS_OF}, {O.COMPS},
     s AS ({O.band_stats('generation, body_style, transmission', 'comps', days=days)})
@@ -159,7 +177,7 @@ WHERE sale_date >= d - 180"""))
 def outlier_sales(spark, sf):
     day = as_of(spark, sf)
     recent = adapters.comps(spark, sf).where(F.col("sale_date") >= F.date_sub(F.lit(day), 180))
-    joined = with_band(recent, current_bands(spark, sf))
+    joined = with_band(recent, written_bands(spark, sf))
     return B.flag_outliers(joined, "sale_price").select("id", "sale_price", "outlier")
 
 
@@ -197,7 +215,7 @@ def asks(spark, sf):
 
 def view(spark, sf, mode="alert_view"):
     """The ask view: active and relisted asks with band and delta."""
-    return ask_view(asks(spark, sf), current_bands(spark, sf), mode)
+    return ask_view(asks(spark, sf), written_bands(spark, sf), mode)
 
 
 _JOINED = "id, median_price, comp_count, insufficient_data"
@@ -212,7 +230,7 @@ def band_join(spark, sf):
 SELECT id, generation || ':' || body_style || ':' || transmission AS cluster_key, median_price,
   comp_count FROM askview"""))
 def band_join_by_key(spark, sf):
-    joined = with_band_by_key(asks(spark, sf), current_bands(spark, sf))
+    joined = with_band_by_key(asks(spark, sf), written_bands(spark, sf))
     return joined.select("id", "cluster_key", "median_price", "comp_count")
 
 
@@ -221,7 +239,7 @@ SELECT id, generation, body_style, transmission, p25_price, median_price, p75_pr
 WHERE median_price IS NOT NULL"""))
 def band_lookup(spark, sf):
     """Each listing's own cluster band, only where one exists."""
-    joined = with_band(asks(spark, sf), current_bands(spark, sf))
+    joined = with_band(asks(spark, sf), written_bands(spark, sf))
     return joined.where(F.col("median_price").isNotNull()).select(
         "id", *CLUSTER_KEYS, "p25_price", "median_price", "p75_price"
     )
@@ -334,3 +352,60 @@ def underpriced_asks(spark, sf):
         F.col("asking_price").cast("double").alias("asking_price"), "median_price", "comp_count",
         "delta_pct", underpriced_severity(F.col("delta_pct")).alias("severity"),
     )
+
+
+def _three_days_sql():
+    parts, ctes = [], [O.COMPS]
+    for back in (2, 1, 0):
+        text = f"today AS (SELECT CAST(max(l_shipdate) AS DATE) - {back} AS d FROM lineitem), {O.BANDS}"
+        text = text.replace("sale_date >= d", "sale_date <= d AND sale_date >= d")
+        for name in ("today", "narrow", "wide", "bands"):
+            text = re.sub(rf"\b{name}\b", f"{name}{back}", text)
+        ctes.append(text)
+        parts.append(f"SELECT * FROM bands{back}")
+    return f"WITH {', '.join(ctes)} {' UNION ALL '.join(parts)}"
+
+
+@query("u6_incremental_bands", _three_days_sql())
+def incremental_bands(spark, sf):
+    """Bands of three successive days. Each run counts the comps of its new day only; the counts of days
+    that left the window are not read."""
+    day, comps = as_of(spark, sf), adapters.comps(spark, sf)
+    first = day - dt.timedelta(days=2)
+    counts = DailyHistograms(spark, f"{run_folder(spark, 'daily')}/counts")
+    counts.add(comps, "first", since=first - dt.timedelta(days=THIN_WINDOW_DAYS), until=first)
+    tables = [counts.bands(first)]
+    for back in (1, 0):
+        new = day - dt.timedelta(days=back)
+        counts.add(comps, f"{new}", since=new, until=new)
+        tables.append(counts.bands(new))
+    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+
+
+def _borrowed_sql():
+    names = ["generation", "body_style", "transmission"]
+    levels, choice = [], []
+    for n, level in enumerate(B.LATTICE):
+        cols = ", ".join(k if k in level else f"'*' AS {k}" for k in names)
+        group = f"GROUP BY {', '.join(level)}" if level else ""
+        levels.append(f"""SELECT {n} AS rank, '{'+'.join(level) or 'all'}' AS level, {cols}, count(*) AS n,
+          quantile_cont(CAST(sale_price AS DOUBLE), 0.5) AS p50 FROM comps, today WHERE sale_date >= d - 90 {group} HAVING count(*) >= 5""")
+        on = " AND ".join(f"l{n}.{k} = {'a.' + k if k in level else chr(39) + '*' + chr(39)}" for k in names)
+        choice.append(f"LEFT JOIN levels l{n} ON l{n}.rank = {n} AND {on}")
+    first = ", ".join(f"l{n}.level" for n in range(len(B.LATTICE)))
+    size = " ".join(f"WHEN l{n}.level IS NOT NULL THEN l{n}.n" for n in range(len(B.LATTICE)))
+    mid = " ".join(f"WHEN l{n}.level IS NOT NULL THEN l{n}.p50" for n in range(len(B.LATTICE)))
+    return f"""WITH {O.AS_OF}, {O.COMPS}, {O.LISTINGS}, levels AS MATERIALIZED ({' UNION ALL '.join(levels)}),
+    f AS (SELECT a.id, a.asking_price, coalesce({first}) AS level, CASE {size} END AS comp_count, CASE {mid} END AS p50
+      FROM (SELECT * FROM listings WHERE listing_status IN ('active', 'relist')) a {' '.join(choice)})
+    SELECT id, level, comp_count, round(p50, 4) AS median_price, {O.pct('asking_price', 'round(p50, 4)')} AS delta_pct FROM f"""
+
+
+@query("a12_borrowed_bands", _borrowed_sql())
+def borrowed(spark, sf):
+    """Asks against the finest level with enough comps in 90 days: a thin cluster borrows from a coarser one."""
+    bands = B.band_table(
+        adapters.comps(spark, sf), as_of(spark, sf), thin_window_days=90, levels=[list(x) for x in B.LATTICE])
+    found = B.borrowed_bands(asks(spark, sf), bands)
+    delta = deltas.ask_vs_median(F.col("asking_price"), F.col("median_price"), F.lit(False), "alert_view")
+    return found.select("id", "level", "comp_count", "median_price", delta.alias("delta_pct"))

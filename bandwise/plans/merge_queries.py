@@ -11,12 +11,14 @@ from bandwise.operators import bands as B
 from bandwise.operators import linkage as L
 from bandwise.operators import merge as M
 from bandwise.operators import quality as Q
+from bandwise.operators.bucketed import BucketedTable
 from bandwise.operators.normalizing import normalize_records
 from bandwise.operators.skew import latest_per_key
 from bandwise.plans import oracle_sql as O
 from bandwise.plans.band_queries import as_of
 from bandwise.plans.normalize_queries import _NORMALIZED, ADS, lit
 from bandwise.plans.registry import query
+from bandwise.session import run_folder
 
 CUT = dt.date(1999, 1, 1)
 NOW = dt.datetime(2002, 1, 1, tzinfo=dt.timezone.utc)
@@ -70,6 +72,23 @@ def listing_upsert(spark, sf):
                          "created_at", "action")
 
 
+def _table(spark, name):
+    folder = run_folder(spark, name)
+    return BucketedTable(spark, folder.rsplit("/", 1)[1].replace("-", "_"), folder, buckets=8)
+
+
+_UPSERTED = ["source", "source_url", "id", "asking_price", "mileage", "listing_status", "created_at", "action"]
+
+
+@query("u1_bucketed_upsert", f"{_MERGED} SELECT {', '.join(_UPSERTED)} FROM merged")
+def bucketed_upsert(spark, sf):
+    """The same merge into a stored table in buckets of the key: only the batch is shuffled."""
+    stored, batch = split_listings(spark, sf)
+    table = _table(spark, "listings")
+    table.load(stored)
+    return table.merge(batch, lambda old, new: M.upsert_listings(old, new, NOW)).select(*_UPSERTED)
+
+
 @query("u2_history_append", f"""{_MERGED}
 SELECT source_url, CAST(old_cents / 100.0 AS DOUBLE) AS old_price,
   strftime(old_at, '%Y-%m-%d %H:%M:%S') AS old_ts FROM merged
@@ -86,21 +105,37 @@ _COMP_LATEST = """QUALIFY row_number() OVER (PARTITION BY source, source_url
   ORDER BY sale_date DESC, id DESC) = 1"""
 
 
-@query("u3_comp_upsert", f"""WITH {O.COMPS},
+_COMP_MERGED = f"""WITH {O.COMPS},
 s AS (SELECT * FROM comps WHERE sale_date < DATE '{CUT}' {_COMP_LATEST}),
 b AS (SELECT * FROM comps WHERE sale_date >= DATE '{CUT}' {_COMP_LATEST})
 SELECT coalesce(s.source_url, b.source_url) AS source_url, coalesce(s.id, b.id) AS id,
   coalesce(s.cents, b.cents) / 100.0 AS sale_price, coalesce(b.conf100, s.conf100) / 100.0 AS confidence_score,
   CASE WHEN s.id IS NOT NULL AND b.id IS NOT NULL THEN 'updated' WHEN b.id IS NOT NULL THEN 'inserted'
-    ELSE 'untouched' END AS action FROM s FULL JOIN b USING (source, source_url)""")
+    ELSE 'untouched' END AS action FROM s FULL JOIN b USING (source, source_url)"""
+
+
+@query("u3_comp_upsert", _COMP_MERGED)
 def comp_upsert(spark, sf):
+    return M.upsert_comps(*split_comps(spark, sf)).select(
+        "source_url", "id", "sale_price", "confidence_score", "action")
+
+
+def split_comps(spark, sf):
+    """(stored comps, incoming batch): the sales before and after the cut day, one per key."""
     rows = A.comps(spark, sf).select("source", "source_url", "id", "sale_price", "sale_date",
                                      "confidence_score")
     order = ["sale_date", "id"]
     stored = M.one_per_key(rows.where(F.col("sale_date") < F.lit(CUT)), order)
-    batch = M.one_per_key(rows.where(F.col("sale_date") >= F.lit(CUT)), order)
-    return M.upsert_comps(stored, batch).select(
-        "source_url", "id", "sale_price", "confidence_score", "action")
+    return stored, M.one_per_key(rows.where(F.col("sale_date") >= F.lit(CUT)), order)
+
+
+@query("u3_bucketed_upsert", _COMP_MERGED)
+def bucketed_comp_upsert(spark, sf):
+    """Comps merged into a table in buckets of the key."""
+    stored, batch = split_comps(spark, sf)
+    table = _table(spark, "comps")
+    table.load(stored)
+    return table.merge(batch, M.upsert_comps).select("source_url", "id", "sale_price", "confidence_score", "action")
 
 
 _GONE = "gone AS (SELECT DISTINCT source, source_url FROM batch WHERE listing_status = 'removed')"

@@ -10,7 +10,7 @@ from bandwise import adapters
 from bandwise.operators import search as S
 from bandwise.plans import oracle_sql as O
 from bandwise.plans.alert_queries import stored_alerts
-from bandwise.plans.band_queries import as_of, current_bands, view
+from bandwise.plans.band_queries import as_of, written_bands, view
 from bandwise.plans.registry import query
 from bandwise.schemas import CLUSTER_KEYS
 
@@ -77,14 +77,14 @@ def comp_page(spark, sf):
 SELECT cluster_key, comp_count, median_price FROM bands
 WHERE transmission = 'N' AND insufficient_data"""))
 def band_list(spark, sf):
-    thin = S.list_bands(current_bands(spark, sf), transmission="N", insufficient=True, domains=OPEN)
+    thin = S.list_bands(written_bands(spark, sf), transmission="N", insufficient=True, domains=OPEN)
     return thin.select("cluster_key", "comp_count", "median_price")
 
 
 @query("t3_bands_by_key", O.with_bands(
     "SELECT cluster_key, comp_count, insufficient_data FROM bands ORDER BY cluster_key"))
 def bands_by_key(spark, sf):
-    return current_bands(spark, sf).select(
+    return written_bands(spark, sf).select(
         "cluster_key", "comp_count", "insufficient_data"
     ).orderBy("cluster_key")
 

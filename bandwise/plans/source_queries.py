@@ -10,7 +10,7 @@ from bandwise import adapters as A
 from bandwise.functions import dictionaries as D
 from bandwise.operators.normalizing import normalize_records
 from bandwise.plans import oracle_sql as O
-from bandwise.plans.band_queries import current_bands
+from bandwise.plans.band_queries import written_bands
 from bandwise.plans.extract_queries import PAGES, expected
 from bandwise.plans.merge_queries import _CHANGES, _LOG
 from bandwise.plans.normalize_queries import ADS, choose, sql_classes, sql_generation
@@ -144,7 +144,7 @@ def limited_links(spark, sf):
   FROM narrow WHERE n < 5)"""))
 def thin_keys(spark, sf):
     """Bands whose primary window was thin, by membership of their key."""
-    bands = current_bands(spark, sf)
+    bands = written_bands(spark, sf)
     thin = bands.where(F.col("window_days") == 180).select("cluster_key")
     return bands.join(thin, "cluster_key", "left_semi").select("cluster_key", "comp_count")
 
@@ -153,7 +153,7 @@ def thin_keys(spark, sf):
 def csv_exchange(spark, sf):
     """Bands out to CSV and back in with a declared schema."""
     folder = S.run_folder(spark, "csv")
-    bands = current_bands(spark, sf).select("cluster_key", "comp_count", "median_price")
+    bands = written_bands(spark, sf).select("cluster_key", "comp_count", "median_price")
     files.export_csv(bands, folder)
     return files.read_csv(spark, folder, bands.schema)
 
@@ -281,7 +281,7 @@ def stream_band_join(spark, sf):
     """Asks arriving as a stream, priced against the current bands."""
     lines = S.table_stream(spark, sf, "lineitem")
     asks = A.listings_from(lines, A.table(spark, sf, "part"))
-    priced = S.priced_stream(asks, current_bands(spark, sf)).select("id", "median_price", "delta_pct")
+    priced = S.priced_stream(asks, written_bands(spark, sf)).select("id", "median_price", "delta_pct")
     return S.drain_to_table(priced, S.run_folder(spark, "priced"))
 
 

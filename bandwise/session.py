@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,13 +64,9 @@ def shared_dir(spark: SparkSession) -> str:
     return scratch
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df once to the reliable checkpoint folder and read it from there after."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder of one run in the shared checkpoint area."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def latest_date(df: DataFrame, column: str) -> dt.date:

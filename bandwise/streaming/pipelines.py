@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,17 +11,12 @@ from bandwise.operators.enrich import ask_view
 from bandwise.operators.normalizing import normalize_records
 from bandwise.operators.skew import latest_per_key, time_chunk, with_previous
 from bandwise.schemas import NATURAL_KEY
-from bandwise.session import shared_dir
+from bandwise.session import run_folder  # noqa: F401
 from bandwise.sources.parsing import parse_pages, routed
 
 STATE_SCHEMA = "listing_key bigint, scrape_ts timestamp, event_id bigint, price decimal(10,2)"
 
 
-def run_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder of one streaming run in the shared checkpoint area."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def table_stream(spark: SparkSession, folder: str, name: str, max_files: int = 1000) -> DataFrame:
     """A parquet table as a stream; `max_files` bounds a micro-batch."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
