@@ -15,7 +15,8 @@ from bandwise.plans.extract_queries import PAGES, expected
 from bandwise.plans.merge_queries import _CHANGES, _LOG
 from bandwise.plans.normalize_queries import ADS, choose, sql_classes, sql_generation
 from bandwise.plans.registry import query
-from bandwise.sources import files, links, snapshots
+from bandwise.session import run_folder
+from bandwise.sources import archive, files, links, snapshots
 from bandwise.sources import parsing as P
 from bandwise.streaming import pipelines as S
 from bandwise.streaming.keyed_state import KeyedPrices
@@ -58,9 +59,37 @@ def archive_scan(spark, sf):
         F.count("*").alias("pages"), F.min("slug").alias("first_slug"))
 
 
+_DAYS = f"""WITH {PAGES} SELECT source, day AS fetch_date, content_type, count(*) AS pages,
+  min(slug) AS first_slug FROM (SELECT *, {_SLUG.format(u='source_url')} AS slug,
+  CASE WHEN source = 'ebay' THEN 'json' ELSE 'html' END AS content_type FROM f WHERE turn <> 3) GROUP BY ALL"""
+
+
+def _day_archive(spark, sf):
+    folder = run_folder(spark, "days")
+    archive.write_pages(A.auction_pages(spark, sf), folder)
+    return archive.read_pages(spark, folder)
+
+
+@query("src2_day_archive", _DAYS)
+def day_archive(spark, sf):
+    """The archive by source and day as a data source: written, read back, counted."""
+    return _day_archive(spark, sf).groupBy("source", "fetch_date", "content_type").agg(
+        F.count("*").alias("pages"), F.min(snapshots.url_slug(F.col("url"))).alias("first_slug"))
+
+
 _SINCE = dt.date(1996, 1, 1)
 
 
+@query("src1_source_days", f"""WITH {PAGES} SELECT source_url, day AS fetch_date, {_SLUG.format(u='source_url')} AS slug
+FROM f WHERE turn <> 3 AND source = 'bat' AND day >= DATE '{_SINCE}'""")
+def source_days(spark, sf):
+    """One source from a day on: the scan plans the pieces of these days only."""
+    rows = _day_archive(spark, sf).where((F.col("source") == "bat") & (F.col("fetch_date") >= F.lit(_SINCE)))
+    return rows.select(F.col("url").alias("source_url"), "fetch_date", snapshots.url_slug(F.col("url")).alias("slug"))
+
+
+
+
 @query("src1_source_scan", f"""WITH {PAGES} SELECT source_url, day AS fetch_date, {_SLUG.format(u='source_url')} AS slug
 FROM f WHERE turn <> 3 AND source = 'bat' AND day >= DATE '{_SINCE}'""")
 def source_scan(spark, sf):
@@ -232,11 +261,10 @@ def page_pipeline(spark, sf):
     again = pages.where(F.col("page_id") % 7 == 0).withColumns({
         "fetched_at": F.col("fetched_at") + F.expr("interval 1 day"), "status_code": F.lit(404),
         "content": F.lit("")})
-    again.write.parquet(f"{root}/in/part=0")
-    pages.write.parquet(f"{root}/in/part=1")
-    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1000).parquet(f"{root}/in/*")
+    archive.write_pages(again, f"{root}/archive", empty=True)
+    archive.write_pages(pages, f"{root}/archive", empty=True)
     ingest = S.PageIngest(spark, root)
-    ingest.run(stream)
+    ingest.run(archive.follow_pages(spark, f"{root}/archive").select(pages.columns))
     shared = ["source", "source_url", "mileage", "vin", "exterior_color_raw"]
     listings = ingest.listings().select(
         *shared, F.lit("listing").alias("kind"), F.col("asking_price").alias("price"), "sale_date", "listing_status")
