@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from bandwise import adapters as A
 from bandwise.functions import dictionaries as D
 from bandwise.functions import normalize as N
 from bandwise.functions.fuzzy import alias_map, with_color
+from bandwise.operators.dictionaries import with_color_of, with_generation_of
 from bandwise.operators.normalizing import normalize_records
 from bandwise.plans.registry import query
 from bandwise.schemas import COLORS
+from bandwise.session import run_folder
+from bandwise.sources import files
 
 
 def lit(value) -> str:
@@ -62,18 +67,18 @@ def sql_mods(text: str) -> str:
     return f"array_to_string(list_filter([{items}], lambda x: x IS NOT NULL), ',')"
 
 
-def sql_generation(year: str, text: str) -> str:
-    whens = [f"WHEN {year} BETWEEN {a} AND {b} THEN '{g}'" for g, a, b in D.GENERATION_YEARS]
+def sql_generation(year: str, text: str, years=D.GENERATION_YEARS) -> str:
+    whens = [f"WHEN {year} BETWEEN {a} AND {b} THEN '{g}'" for g, a, b in years]
     for y, (early, late, words) in D.SHARED_YEARS.items():
         hint = " OR ".join(f"contains(lower({text}), '{w}')" for w in words)
         whens.append(f"WHEN {year} = {y} THEN CASE WHEN {hint} THEN '{late}' ELSE '{early}' END")
     return f"CASE {' '.join(whens)} END"
 
 
-def sql_color(raw: str, names_from: str) -> str:
+def sql_color(raw: str, names_from: str, known=None) -> str:
     """CTEs color(raw, key, exterior_color_canonical, color_confidence) over distinct raw values,
     the common subsequence by dynamic programming over lists."""
-    aliases = ", ".join(f"({i}, {lit(a)}, '{c}')" for i, (a, c) in enumerate(alias_map().items()))
+    aliases = ", ".join(f"({i}, {lit(a)}, '{c}')" for i, (a, c) in enumerate((known or alias_map()).items()))
     colors = ", ".join(f"({i}, '{c}', '{c}')" for i, c in enumerate(COLORS))
 
     def scored(table):
@@ -312,3 +317,32 @@ SELECT doc_id, source, pts / 100.0 AS score FROM p WHERE pts < 65""")
 def review_queue(spark, sf):
     """Records whose confidence is too low for the bands."""
     return _deducted(spark, sf).where(F.col("tier") == "low").select("doc_id", "source", "score")
+
+
+# The dictionaries as files: the fixed ones with other meanings for some aliases and years.
+_ALIAS_FILE = {c: [*(a for a in names if a != "midnight blue"), *(["midnight blue", "gards red"] if c == "blue" else [])]
+               for c, names in D.COLOR_ALIASES.items()}
+_YEARS_FILE = (("G0", 1958, 1964), ("G2", 1970, 1977), *(g for g in D.GENERATION_YEARS if g[0] != "G2"))
+_YEARS_FILE = (*_YEARS_FILE[:2], ("G1", 1965, 1969), *_YEARS_FILE[3:])
+_FILE_ALIASES = {a.lower().strip(): c for c, names in _ALIAS_FILE.items() for a in names}
+
+
+def _write_dictionaries(spark, folder):
+    years = {str(y): g for g, first, last in _YEARS_FILE for y in range(first, last + 1)}
+    shared = {str(y): {"earlier": a, "later": b, "words": list(words)} for y, (a, b, words) in D.SHARED_YEARS.items()}
+    for name, content in (("aliases", {"aliases": _ALIAS_FILE}), ("years", {"year_to_generation": years, "shared_years": shared})):
+        spark.createDataFrame([(json.dumps(content),)], "value string").write.text(f"{folder}/{name}")
+
+
+@query("src5_dictionary_files", f"""WITH {ADS}, {sql_color('exterior_color_raw', 'ads', _FILE_ALIASES)}
+SELECT doc_id, {sql_generation('year', 'combined', _YEARS_FILE)} AS generation, exterior_color_canonical,
+  CAST(color_confidence AS DOUBLE) AS color_confidence
+FROM ads LEFT JOIN color ON color.raw IS NOT DISTINCT FROM exterior_color_raw""")
+def dictionary_files(spark, sf):
+    """Colours and generations by dictionaries read from files, which differ from the fixed ones."""
+    folder = run_folder(spark, "dictionaries")
+    _write_dictionaries(spark, folder)
+    aliases, years = files.alias_table(spark, f"{folder}/aliases"), files.year_table(spark, f"{folder}/years")
+    ads = with_generation_of(A.ads(spark, sf), "year", F.concat_ws(" ", "title_raw", "description_raw"), years, "generation")
+    rows = with_color_of(ads, F.col("exterior_color_raw"), aliases, "exterior_color_canonical", "color_confidence")
+    return rows.select("doc_id", "generation", "exterior_color_canonical", "color_confidence")

@@ -35,18 +35,37 @@ def import_manual(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_aliases(spark: SparkSession, path: str) -> DataFrame:
-    """Alias dictionary file {"aliases": {canonical: [alias, ...]}} as (alias, canonical)."""
+def alias_table(spark: SparkSession, path: str) -> DataFrame:
+    """Alias dictionary file {"aliases": {canonical: [alias, ...]}} as (alias, canonical, rank). A repeated alias keeps
+    its first place and takes its last meaning."""
     doc = spark.read.schema("aliases map<string,array<string>>").option("multiLine", True).json(path)
-    rows = doc.select(F.explode("aliases").alias("canonical", "names")).select(
-        "canonical", F.explode("names").alias("name")
-    )
-    return rows.select(F.lower(F.trim("name")).alias("alias"), "canonical")
+    rows = doc.select(F.posexplode(F.map_entries("aliases")).alias("place", "entry")).select(
+        "place", "entry.key", F.posexplode("entry.value").alias("nth", "name"))
+    at = F.struct("place", "nth")
+    named = rows.groupBy(F.lower(F.trim("name")).alias("alias")).agg(
+        F.max_by("key", at).alias("canonical"), F.min(at).alias("at"))
+    return named.select("alias", "canonical", (F.col("at.place") * 1_000_000 + F.col("at.nth")).alias("rank"))
+
+
+def read_aliases(spark: SparkSession, path: str) -> DataFrame:
+    """The same as (alias, canonical)."""
+    return alias_table(spark, path).select("alias", "canonical")
+
+
+def year_table(spark: SparkSession, path: str) -> DataFrame:
+    """Year table file {"year_to_generation": {year: code}, "shared_years": {year: {"earlier": code, "later": code,
+    "words": [...]}}} as (year, generation, later, words); the last two are null where a year has one generation."""
+    doc = spark.read.schema(
+        "year_to_generation map<string,string>, shared_years map<string,struct<earlier:string,later:string,words:array<string>>>"
+    ).option("multiLine", True).json(path)
+    plain = doc.select(F.explode("year_to_generation").alias("year", "generation")).select(
+        F.col("year").try_cast("int").alias("year"), "generation", F.lit(None).cast("string").alias("later"),
+        F.lit(None).cast("array<string>").alias("words"))
+    shared = doc.select(F.explode("shared_years").alias("year", "s")).select(
+        F.col("year").try_cast("int").alias("year"), F.col("s.earlier").alias("generation"), "s.later", "s.words")
+    return shared.unionByName(plain.join(shared.select("year"), "year", "left_anti"))
 
 
 def read_year_table(spark: SparkSession, path: str) -> DataFrame:
-    """Year table file {"year_to_generation": {year: code}} as (year, generation)."""
-    doc = spark.read.schema("year_to_generation map<string,string>").option("multiLine", True).json(path)
-    return doc.select(F.explode("year_to_generation").alias("year", "generation")).select(
-        F.col("year").try_cast("int").alias("year"), "generation"
-    )
+    """The same as (year, generation)."""
+    return year_table(spark, path).select("year", "generation")
