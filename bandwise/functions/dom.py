@@ -226,3 +226,15 @@ def fragments(html: Column, spec: dict) -> Column:
     # Declared non-deterministic so that the optimizer keeps one evaluation per page instead of
     # copying the call into every filter and field above it.
     return run.asNondeterministic()(html)
+
+
+def fragments_by_source(source: Column, html: Column, specs: dict[str, dict]) -> Column:
+    """The same for pages of several sources: each takes the spec of its own."""
+
+    @F.pandas_udf(FRAGMENTS)
+    def run(sources: pd.Series, pages: pd.Series) -> pd.Series:
+        return pd.Series([
+            None if h is None or s not in specs else read_fragments(h, specs[s]) for s, h in zip(sources, pages, strict=True)
+        ], dtype=object)
+
+    return run.asNondeterministic()(source, html)

@@ -131,7 +131,7 @@ def label_lookup(spark, sf):
 
 query("x8_json_specs", expected(
     "gear AS transmission_raw, paint AS exterior_color_raw, tr AS trim, body AS body_style_raw", "source = 'ebay'"))(
-    lambda spark, sf: P.parse_ebay(A.auction_pages(spark, sf).where(F.col("source") == "ebay")).select(
+    lambda spark, sf: P.parse_pages(A.auction_pages(spark, sf), {"ebay": P.SOURCES["ebay"]}).select(
         "source_url", "transmission_raw", "exterior_color_raw", "trim", "body_style_raw"))
 
 query("x9_mileage", expected("miles AS mileage"))(_fields("mileage"))
@@ -141,7 +141,7 @@ query("x10_ask", expected("""CAST(CASE WHEN source = 'carsandbids' AND state <>
     _fields("asking_price"))
 
 query("x11_json_price", expected("CAST(price AS DOUBLE) AS asking_price, 'EUR' AS currency", "source = 'ebay'"))(
-    lambda spark, sf: P.parse_ebay(A.auction_pages(spark, sf).where(F.col("source") == "ebay")).select(
+    lambda spark, sf: P.parse_pages(A.auction_pages(spark, sf), {"ebay": P.SOURCES["ebay"]}).select(
         "source_url", "asking_price", "currency"))
 
 query("x12_vin", expected("vin"))(_fields("vin"))
@@ -193,5 +193,5 @@ FROM f GROUP BY ALL""")
 def page_outcomes(spark, sf):
     """What became of every page of a run."""
     pages = A.auction_pages(spark, sf)
-    outcomes = P.page_outcomes(pages, P.routed(P.parse_pages(pages)))
+    outcomes = P.page_outcomes(pages)
     return outcomes.groupBy("source", "outcome").agg(F.count("*").alias("pages"))

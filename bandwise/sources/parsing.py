@@ -1,18 +1,15 @@
-"""Raw pages to parsed records, one job per source, all expressions but the DOM step.
-
-Each source reads only its own pages: with a page table partitioned by source, the four branches
-together read it once.
-"""
+"""Raw pages to parsed records: one pass over all sources, all expressions but the DOM step."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandwise.functions import extract as X
-from bandwise.functions.dom import Pick, fragments
+from bandwise.functions.dom import Pick, fragments, fragments_by_source
 from bandwise.functions.normalize import FLAGS, stripped
 
 # --- fixed values: where each site keeps its fields -------------------------------------
@@ -79,40 +76,69 @@ PARSED_COLUMNS = (
 REDIRECTS = (200, 301, 302)
 
 
+class Scope:
+    """Names of the helper columns of one source."""
+
+    def __init__(self, source: str):
+        self.source = source
+
+    def name(self, column: str) -> str:
+        return f"_{self.source}_{column}"
+
+    def __call__(self, column: str) -> Column:
+        return F.col(self.name(column))
+
+
+@dataclass(frozen=True)
+class Extraction:
+    """How a page of a source becomes a record: helper columns, stage by stage, each of which may use those before it;
+    whether the page has a record, by the first stage; and the columns of the record."""
+
+    stages: list[dict[str, Column]]
+    keep: Column
+    record: dict[str, Column]
+
+
+@dataclass(frozen=True)
+class Source:
+    """A site: its extraction, the slots of its markup (None: no markup is read), the statuses worth reading (None: any)."""
+
+    extraction: Callable[[Scope], Extraction]
+    spec: dict | None = None
+    statuses: tuple[int, ...] | None = REDIRECTS
+
+
 def readable(pages: DataFrame, statuses=REDIRECTS) -> DataFrame:
     """Pages worth parsing."""
     return pages.where((F.length("content") > 0) & F.col("status_code").isin(*statuses))
 
 
-def _record(rows: DataFrame, **columns: Column) -> DataFrame:
-    """Rows in the common parsed shape."""
-    types = {"year": "int", "mileage": "int", "bidder_count": "int", "asking_price": "double",
-             "final_price": "double", "sale_date": "date", "is_completed": "boolean",
-             "scrape_ts": "timestamp"}
-    base = {"source": F.col("source"), "source_url": F.col("url"), "scrape_ts": F.col("fetched_at"),
-            "currency": F.lit("USD"), "price_type": F.lit("auction_final")}
-    given = base | columns
-    return rows.select(*[
-        given.get(name, F.lit(None)).cast(types.get(name, "string")).alias(name)
-        for name in PARSED_COLUMNS
-    ])
+TYPES = {"year": "int", "mileage": "int", "bidder_count": "int", "asking_price": "double", "final_price": "double",
+         "sale_date": "date", "is_completed": "boolean", "scrape_ts": "timestamp"}
 
 
 def _first_ten(*texts: Column) -> Column:
     return F.left(F.coalesce(*texts), F.lit(10))
 
 
+def bat_head(c: Scope) -> dict[str, Column]:
+    title = X.slot_first("f", "title")
+    return {"title": title, "year": X.year(title, X.YEAR_FROM_1960)}
+
+
+def _titled(c: Scope) -> Column:
+    return (c("title") != "") & c("year").isNotNull()
+
+
 def bat_pages(pages: DataFrame) -> DataFrame:
     """Readable pages of the first source with their fragments f, a title and a year."""
     rows = readable(pages).withColumn("f", fragments(F.col("content"), BAT))
-    title = X.slot_first("f", "title")
-    rows = rows.withColumn("title", title).withColumn("year", X.year(title, X.YEAR_FROM_1960))
-    return rows.where((F.col("title") != "") & F.col("year").isNotNull())
+    head = bat_head(Scope("bat"))
+    return rows.withColumns(head).where((F.col("title") != "") & F.col("year").isNotNull())
 
 
-def parse_bat(pages: DataFrame) -> DataFrame:
+def bat(c: Scope) -> Extraction:
     """Labelled or bare list items, result strip, price spans."""
-    rows = bat_pages(pages)
 
     def entry(item):
         return F.struct(
@@ -130,9 +156,6 @@ def parse_bat(pages: DataFrame) -> DataFrame:
         e = entry(t)
         return ~t.contains(":") | (e["k"] == "") | (e["v"] == "")
 
-    bare = F.filter(items, is_bare)
-    rows = rows.withColumn("specs", labelled).withColumn("bare", bare)
-
     def has_gear(t):
         lowered = F.lower(t)
         hit = F.lit(False)
@@ -143,28 +166,17 @@ def parse_bat(pages: DataFrame) -> DataFrame:
     def is_miles(t):
         return t.rlike(FLAGS + X.MILES)
 
-    bare_miles = F.get(F.filter("bare", is_miles), F.lit(0))
-    bare_gear = F.get(F.filter("bare", lambda t: ~is_miles(t) & has_gear(t)), F.lit(0))
+    bare = c.name("bare")
+    bare_miles = F.get(F.filter(bare, is_miles), F.lit(0))
+    bare_gear = F.get(F.filter(bare, lambda t: ~is_miles(t) & has_gear(t)), F.lit(0))
     bare_engine = F.get(
-        F.filter("bare", lambda t: ~is_miles(t) & ~has_gear(t) & t.rlike(FLAGS + X.ENGINE)), F.lit(0)
+        F.filter(bare, lambda t: ~is_miles(t) & ~has_gear(t) & t.rlike(FLAGS + X.ENGINE)), F.lit(0)
     )
 
     def spec(name):
-        return X.spec_last("specs", name)
-
-    rows = rows.select(
-        "*",
-        F.coalesce(spec("mileage"), bare_miles).alias("miles_text"),
-        F.coalesce(spec("transmission"), bare_gear).alias("gear_text"),
-        F.coalesce(spec("engine"), bare_engine).alias("engine_text"),
-        X.slot_first("f", "description").alias("description"),
-        X.slot_first("f", "page_text").alias("page_text"),
-    ).withColumn(
-        "combined",
-        F.concat_ws(" ", "title", "description", F.array_join(F.transform("specs", lambda e: e["v"]), " "),
-                    "miles_text", "gear_text", "engine_text"),
-    )
-    result = F.coalesce(F.nullif(X.slot_first("f", "result"), F.lit("")), F.col("page_text"))
+        return X.spec_last(c.name("specs"), name)
+
+    result = F.coalesce(F.nullif(X.slot_first("f", "result"), F.lit("")), c("page_text"))
     strip_price = X.first_amount(X.slot("f", "stats"))
     searched = F.transform(
         F.filter(X.slot("f", "links"), lambda h: h.contains("/search?q=")),
@@ -178,18 +190,28 @@ def parse_bat(pages: DataFrame) -> DataFrame:
                    lambda h, t: F.when(h.contains("maps/place") | h.contains("maps.google"), t)),
         lambda t: t.isNotNull() & (t != ""),
     )
-    return _record(
-        rows,
-        title_raw=F.col("title"), year=F.col("year"), trim=X.trim(F.col("title")),
-        engine_variant=F.coalesce(X.engine(F.col("engine_text")), X.engine(spec("engine size")),
-                                  X.engine(spec("displacement")), X.engine(F.col("combined"))),
-        body_style_raw=X.body_word(F.col("combined")),
-        transmission_raw=F.coalesce(X.gearbox_class(F.col("gear_text")), X.gearbox_class(spec("gearbox")),
-                                    X.gearbox_class(F.col("combined"))),
-        drivetrain_raw=X.four_wheel(F.col("combined")),
+    stages = [
+        bat_head(c),
+        {"specs": labelled, "bare": F.filter(items, is_bare)},
+        {"miles_text": F.coalesce(spec("mileage"), bare_miles),
+         "gear_text": F.coalesce(spec("transmission"), bare_gear),
+         "engine_text": F.coalesce(spec("engine"), bare_engine),
+         "description": X.slot_first("f", "description"), "page_text": X.slot_first("f", "page_text")},
+        {"combined": F.concat_ws(
+            " ", c("title"), c("description"), F.array_join(F.transform(c("specs"), lambda e: e["v"]), " "),
+            c("miles_text"), c("gear_text"), c("engine_text"))},
+    ]
+    return Extraction(stages, _titled(c), dict(
+        title_raw=c("title"), year=c("year"), trim=X.trim(c("title")),
+        engine_variant=F.coalesce(X.engine(c("engine_text")), X.engine(spec("engine size")),
+                                  X.engine(spec("displacement")), X.engine(c("combined"))),
+        body_style_raw=X.body_word(c("combined")),
+        transmission_raw=F.coalesce(X.gearbox_class(c("gear_text")), X.gearbox_class(spec("gearbox")),
+                                    X.gearbox_class(c("combined"))),
+        drivetrain_raw=X.four_wheel(c("combined")),
         exterior_color_raw=X.exterior(F.coalesce(spec("exterior color"), spec("exterior"),
                                                  spec("color"), spec("paint"))),
-        mileage=F.coalesce(X.miles(F.col("miles_text")), X.miles(spec("miles")), X.miles(spec("odometer"))),
+        mileage=F.coalesce(X.miles(c("miles_text")), X.miles(spec("miles")), X.miles(spec("odometer"))),
         vin=F.coalesce(*[X.vin(spec(n)) for n in ("chassis", "vin", "serial", "chassis number")], linked_vin),
         asking_price=F.coalesce(X.first_amount(X.slot("f", "prices")), X.first_amount(X.slot("f", "summary"))),
         final_price=F.coalesce(X.amount(result, X.SOLD_FOR), strip_price),
@@ -198,47 +220,42 @@ def parse_bat(pages: DataFrame) -> DataFrame:
         seller_type_raw=F.lit("auction_house"),
         location=F.coalesce(spec("location"), spec("seller location"), spec("located in"),
                             F.get(map_texts, F.lit(0))),
-        bidder_count=F.coalesce(X.bids(F.array_join(X.slot("f", "stats"), "\n")), X.bids(F.col("page_text"))),
-        is_completed=X.closed(F.col("page_text")) | (F.size(X.slot("f", "ended")) > 0),
-        description_raw=F.col("description"),
-    )
+        bidder_count=F.coalesce(X.bids(F.array_join(X.slot("f", "stats"), "\n")), X.bids(c("page_text"))),
+        is_completed=X.closed(c("page_text")) | (F.size(X.slot("f", "ended")) > 0),
+        description_raw=c("description"),
+    ))
 
 
-def parse_carsandbids(pages: DataFrame) -> DataFrame:
+def carsandbids(c: Scope) -> Extraction:
     """Definition lists, bid boxes, labelled statistics."""
-    rows = readable(pages).withColumn("f", fragments(F.col("content"), CARSANDBIDS))
     title = X.slot_first("f", "title")
-    rows = rows.withColumn("title", title).withColumn("year", X.year(title, X.YEAR_FROM_1960))
-    rows = rows.where((F.col("title") != "") & F.col("year").isNotNull())
     lines = F.filter(X.slot("f", "highlight_lines"), lambda t: t != "")
-    rows = rows.select(
-        "*",
-        X.spec_entries("f").alias("specs"),
-        F.when(F.size(X.slot("f", "highlights")) > 0, F.array_join(lines, " "))
-        .otherwise(X.slot_first("f", "description")).alias("description"),
-        X.slot_first("f", "page_text").alias("page_text"),
-    ).withColumn(
-        "combined",
-        F.concat_ws(" ", "title", "description", F.array_join(F.transform("specs", lambda e: e["v"]), " ")),
-    )
 
     def spec(name):
-        return X.spec_last("specs", name)
+        return X.spec_last(c.name("specs"), name)
 
     bid_stat = F.get(F.filter(X.slot("f", "stats"), lambda t: F.lower(t).contains("bids") & t.rlike(r"\d")), F.lit(0))
-    text = F.col("page_text")
-    return _record(
-        rows,
-        title_raw=F.col("title"), year=F.col("year"), trim=X.trim(F.col("title")),
+    text = c("page_text")
+    stages = [
+        {"title": title, "year": X.year(title, X.YEAR_FROM_1960)},
+        {"specs": X.spec_entries("f"),
+         "description": F.when(F.size(X.slot("f", "highlights")) > 0, F.array_join(lines, " "))
+         .otherwise(X.slot_first("f", "description")),
+         "page_text": X.slot_first("f", "page_text")},
+        {"combined": F.concat_ws(
+            " ", c("title"), c("description"), F.array_join(F.transform(c("specs"), lambda e: e["v"]), " "))},
+    ]
+    return Extraction(stages, _titled(c), dict(
+        title_raw=c("title"), year=c("year"), trim=X.trim(c("title")),
         engine_variant=F.coalesce(*[X.engine(spec(n)) for n in ("engine", "engine size", "displacement")],
-                                  X.engine(F.col("combined"))),
-        body_style_raw=X.body_word(F.col("combined")),
+                                  X.engine(c("combined"))),
+        body_style_raw=X.body_word(c("combined")),
         transmission_raw=F.coalesce(X.gearbox_class(spec("transmission")), X.gearbox_class(spec("gearbox")),
-                                    X.gearbox_class(F.col("combined"))),
-        drivetrain_raw=X.four_wheel(F.col("combined")),
+                                    X.gearbox_class(c("combined"))),
+        drivetrain_raw=X.four_wheel(c("combined")),
         exterior_color_raw=F.coalesce(*[spec(n) for n in ("exterior color", "exterior", "color", "paint")]),
         mileage=F.coalesce(*[X.miles(spec(n)) for n in ("mileage", "miles", "odometer")]),
-        vin=F.coalesce(*[X.vin(spec(n)) for n in ("vin", "chassis", "serial")], X.vin(F.col("combined"))),
+        vin=F.coalesce(*[X.vin(spec(n)) for n in ("vin", "chassis", "serial")], X.vin(c("combined"))),
         asking_price=X.first_amount(X.slot("f", "asks")),
         final_price=F.coalesce(X.first_amount(X.slot("f", "finals")), X.amount(text, X.SOLD_FOR)),
         sale_date=X.long_date(text),
@@ -247,26 +264,19 @@ def parse_carsandbids(pages: DataFrame) -> DataFrame:
         location=F.coalesce(spec("location"), spec("seller location")),
         bidder_count=F.coalesce(X.found(bid_stat, r"(\d+)").try_cast("int"), X.bids(text)),
         is_completed=(F.size(X.slot("f", "ended")) > 0) | X.closed(text),
-        description_raw=F.col("description"),
-    )
+        description_raw=c("description"),
+    ))
 
 
-def parse_ebay(pages: DataFrame) -> DataFrame:
-    """A JSON item; no markup, so no Python at all. Any status passes as long as it parses."""
-    rows = pages.where(F.length("content") > 0)
-    item = F.coalesce(F.get_json_object("content", "$.Item"), F.get_json_object("content", "$.item"))
-    rows = rows.withColumn("item", item).where(F.length("item") > 2)
+def ebay(c: Scope) -> Extraction:
+    """A JSON item, parsed once to a variant; no markup."""
 
     def at(path):
-        return F.get_json_object("item", f"$.{path}")
-
-    listed = at("ItemSpecifics.NameValueList")
-    as_list = F.when(listed.startswith("{"), F.concat(F.lit("["), listed, F.lit("]"))).otherwise(listed)
-    rows = rows.withColumn("specs", F.from_json(as_list, "array<struct<Name:string,Value:string>>"))
+        return F.try_variant_get(c("item"), f"$.{path}", "string")
 
     def spec(name):
-        value = F.get(F.filter("specs", lambda e: F.lower(e["Name"]) == name.lower()), F.lit(0))["Value"]
-        return F.when(value.startswith("["), F.get_json_object(value, "$[0]")).otherwise(value)
+        value = F.get(F.filter(c("specs"), lambda e: F.lower(e["Name"]) == name.lower()), F.lit(0))["Value"]
+        return F.coalesce(F.try_variant_get(value, "$[0]", "string"), F.try_variant_get(value, "$", "string"))
 
     def number(text):
         return F.regexp_replace(text, r"[^\d.]", "")
@@ -278,11 +288,22 @@ def parse_ebay(pages: DataFrame) -> DataFrame:
     ])
     status = F.lower(F.coalesce(F.nullif(at("SellingStatus.ListingStatus"), F.lit("")),
                                 at("ListingStatus"), F.lit("")))
-    ended = status.isin("ended", "completed", "sold")
     miles_word = F.split(stripped(spec("Mileage")), r"\s+")[0]
     spec_vin = F.upper(spec("VIN"))
-    return _record(
-        rows,
+    listed, one = "$.ItemSpecifics.NameValueList", "struct<Name:string,Value:variant>"
+    page, item = c("page"), c("item")
+    stages = [
+        # the row number, never negative, keeps the optimizer from copying the parse into filters below
+        {"page": F.when(F.monotonically_increasing_id() >= 0, F.try_parse_json(F.col("content")))},
+        {"item": F.coalesce(F.try_variant_get(page, "$.Item", "variant"), F.try_variant_get(page, "$.item", "variant"))},
+        {"specs": F.coalesce(F.try_variant_get(item, listed, f"array<{one}>"),
+                             F.array_compact(F.array(F.try_variant_get(item, listed, one))))},
+        {"price": price, "status": status},
+    ]
+    ended = c("status").isin("ended", "completed", "sold")
+    kind = F.schema_of_variant(F.try_variant_get(page, "$.Item", "variant"))
+    kind = F.coalesce(F.nullif(kind, F.lit("VOID")), F.schema_of_variant(F.try_variant_get(page, "$.item", "variant")))
+    return Extraction(stages, kind.startswith("OBJECT<") & (kind != "OBJECT<>"), dict(
         title_raw=at("Title"),
         year=F.coalesce(spec("Year").try_cast("int"), X.year(at("Title"), X.YEAR_FROM_1965)),
         trim=spec("Trim"), engine_variant=spec("Engine"), body_style_raw=spec("Body Type"),
@@ -290,90 +311,130 @@ def parse_ebay(pages: DataFrame) -> DataFrame:
         exterior_color_raw=spec("Exterior Color"), interior_color_raw=spec("Interior Color"),
         mileage=F.coalesce(number(miles_word).try_cast("int"), X.miles(at("Description"))),
         vin=F.coalesce(F.nullif(at("VIN"), F.lit("")), F.when(spec_vin.rlike("^" + X.VIN), spec_vin)),
-        asking_price=price,
-        final_price=F.when(ended, price),
+        asking_price=c("price"),
+        final_price=F.when(ended, c("price")),
         currency=F.coalesce(at("SellingStatus.ConvertedCurrentPrice.CurrencyID"), F.lit("USD")),
         listing_date=_first_ten(at("StartTime"), at("ListingDetails.StartTime")),
         sale_date=F.when(ended, F.try_to_date(F.left(at("EndTime"), F.lit(10)))),
         seller_type_raw=F.lit("private"), seller_name=at("Seller.UserID"),
         is_completed=ended,
         description_raw=X.strip_html(at("Description")),
-    )
+    ))
 
 
-def parse_pcarmarket(pages: DataFrame) -> DataFrame:
+def pcarmarket(c: Scope) -> Extraction:
     """Labels anywhere on the page: definition lists, table rows, list items."""
-    rows = readable(pages, (200,)).withColumn("f", fragments(F.col("content"), PCARMARKET))
-    rows = rows.withColumn("title", X.slot_first("f", "title")).where(F.col("title") != "")
     sold_badge = F.array_position(
         F.transform(X.slot("f", "badge"), lambda t: F.lower(t).contains("sold")), True
     )
     end_texts = F.filter(
         F.transform(X.slot("f", "end_dates"), X.page_date), lambda d: d.isNotNull()
     )
-    rows = rows.select(
-        "*",
-        X.spec_entries("f").alias("specs"),
-        X.slot_first("f", "result").alias("result"),
-        sold_badge.alias("sold_badge"),
-        F.coalesce(F.left(X.slot_first("f", "times"), F.lit(10)),
-                   F.get(end_texts, F.lit(0)).cast("string")).alias("end_date"),
-        ((F.size(X.slot("f", "result")) > 0) | (sold_badge > 0)).alias("completed"),
-    )
-    after = F.try_element_at(X.slot("f", "after_badge"), F.greatest(F.col("sold_badge"), F.lit(1)).cast("int"))
-    badge_price = F.when(F.col("sold_badge") > 0, X.amount(after, X.DOLLARS_CENTS))
-    spec = X.spec_first
-    miles_text = spec("specs", "mileage", "miles", "odometer")
+    after = F.try_element_at(X.slot("f", "after_badge"), F.greatest(c("sold_badge"), F.lit(1)).cast("int"))
+    badge_price = F.when(c("sold_badge") > 0, X.amount(after, X.DOLLARS_CENTS))
+
+    def spec(*names):
+        return X.spec_first(c.name("specs"), *names)
+
+    miles_text = spec("mileage", "miles", "odometer")
     bare_miles = F.regexp_replace(F.split(stripped(miles_text), r"\s+")[0], r"[^\d]", "").try_cast("int")
     bid_text = F.filter(X.slot("f", "bids"), lambda t: t.rlike(FLAGS + X.BIDS_CLOSE))
-    return _record(
-        rows,
-        title_raw=F.col("title"),
-        year=F.coalesce(X.year(F.col("title"), X.YEAR_FROM_1965), X.year(spec("specs", "year"), X.YEAR_FROM_1965)),
-        trim=spec("specs", "trim", "model"),
-        engine_variant=spec("specs", "engine", "displacement"),
-        body_style_raw=spec("specs", "body", "body style", "body type"),
-        transmission_raw=spec("specs", "transmission", "gearbox"),
-        drivetrain_raw=spec("specs", "drivetrain", "drive"),
-        exterior_color_raw=spec("specs", "exterior color", "color", "exterior"),
-        interior_color_raw=spec("specs", "interior color", "interior"),
+    completed = c("completed")
+    stages = [
+        {"title": X.slot_first("f", "title")},
+        {"specs": X.spec_entries("f"), "result": X.slot_first("f", "result"), "sold_badge": sold_badge,
+         "end_date": F.coalesce(F.left(X.slot_first("f", "times"), F.lit(10)),
+                                F.get(end_texts, F.lit(0)).cast("string"))},
+        {"completed": (F.size(X.slot("f", "result")) > 0) | (c("sold_badge") > 0)},
+    ]
+    return Extraction(stages, c("title") != "", dict(
+        title_raw=c("title"),
+        year=F.coalesce(X.year(c("title"), X.YEAR_FROM_1965), X.year(spec("year"), X.YEAR_FROM_1965)),
+        trim=spec("trim", "model"),
+        engine_variant=spec("engine", "displacement"),
+        body_style_raw=spec("body", "body style", "body type"),
+        transmission_raw=spec("transmission", "gearbox"),
+        drivetrain_raw=spec("drivetrain", "drive"),
+        exterior_color_raw=spec("exterior color", "color", "exterior"),
+        interior_color_raw=spec("interior color", "interior"),
         mileage=F.coalesce(X.miles(miles_text), bare_miles),
-        vin=F.coalesce(X.vin(F.upper(spec("specs", "vin", "vin number"))), X.vin(X.slot_first("f", "page_text"))),
-        asking_price=F.when(~F.col("completed"), X.first_amount(X.slot("f", "asks"), X.DOLLARS_CENTS)),
+        vin=F.coalesce(X.vin(F.upper(spec("vin", "vin number"))), X.vin(X.slot_first("f", "page_text"))),
+        asking_price=F.when(~completed, X.first_amount(X.slot("f", "asks"), X.DOLLARS_CENTS)),
         final_price=F.when(
-            F.col("completed"),
-            F.when(F.size(X.slot("f", "result")) > 0, X.amount(F.col("result"), X.DOLLARS_CENTS))
-            .otherwise(badge_price),
+            completed,
+            F.when(F.size(X.slot("f", "result")) > 0, X.amount(c("result"), X.DOLLARS_CENTS)).otherwise(badge_price),
         ),
-        listing_date=F.col("end_date"),
-        sale_date=F.when(F.col("completed"), F.try_to_date("end_date")),
+        listing_date=c("end_date"),
+        sale_date=F.when(completed, F.try_to_date(c("end_date"))),
         seller_type_raw=F.lit("auction_house"), seller_name=X.slot_first("f", "seller"),
         bidder_count=X.bids(F.get(bid_text, F.lit(0)), X.BIDS_CLOSE),
-        is_completed=F.col("completed"),
+        is_completed=completed,
         description_raw=X.slot_first("f", "description"),
-    )
+    ))
 
 
-PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "bat": parse_bat,
-    "carsandbids": parse_carsandbids,
-    "ebay": parse_ebay,
-    "pcarmarket": parse_pcarmarket,
+#: The known sites. A job may pass more of them, or fewer.
+SOURCES: dict[str, Source] = {
+    "bat": Source(bat, BAT),
+    "carsandbids": Source(carsandbids, CARSANDBIDS),
+    "ebay": Source(ebay, statuses=None),
+    "pcarmarket": Source(pcarmarket, PCARMARKET, (200,)),
 }
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """Parsed records of all known sources."""
-    out = None
-    for source, parser in PARSERS.items():
-        parsed = parser(pages.where(F.col("source") == source))
-        out = parsed if out is None else out.unionByName(parsed)
-    return out
-
-
-def routed(parsed: DataFrame, mode: str = "scheduled") -> DataFrame:
-    """Where each record goes. scheduled: completed records with a sale date are comps, all else
-    listings. comp_first: whatever closed or bears a final price is a comp."""
+def _extracted(pages: DataFrame, sources: Mapping[str, Source], filled: Column) -> DataFrame:
+    """Every page in the parsed shape with `status_code` and `found`, whether it has a record; `filled` says whether
+    there is something to read.
+
+    One scan and one Python stage for all sources: the stage takes the slots of each row's own source, and every later
+    expression runs for the rows of its source only.
+    """
+    at = F.col("source")
+
+    def own(name: str, value: Column) -> Column:
+        return F.when(at == name, value)
+
+    read = F.lit(False)
+    for name, source in sources.items():
+        good = F.lit(True) if source.statuses is None else F.col("status_code").isin(*source.statuses)
+        read = read | ((at == name) & good)
+    rows = pages.withColumn("_read", F.coalesce(read & filled, F.lit(False)))
+    specs = {name: source.spec for name, source in sources.items() if source.spec is not None}
+    if specs:
+        rows = rows.withColumn("f", fragments_by_source(at, F.when(F.col("_read") & at.isin(*specs), F.col("content")), specs))
+    made = {name: source.extraction(Scope(name)) for name, source in sources.items()}
+    keep = F.lit(False)
+    for depth in range(max(len(m.stages) for m in made.values())):
+        rows = rows.withColumns({
+            Scope(name).name(column): own(name, value)
+            for name, m in made.items() if depth < len(m.stages) for column, value in m.stages[depth].items()
+        })
+        if not depth:
+            for name, m in made.items():
+                keep = keep | ((at == name) & m.keep)
+            rows = rows.withColumn("found", F.col("_read") & F.coalesce(keep, F.lit(False)))
+    shared = {"source": at, "source_url": F.col("url"), "scrape_ts": F.col("fetched_at")}
+    usual = {"currency": "USD", "price_type": "auction_final"}
+    columns = []
+    for column in PARSED_COLUMNS:
+        if column in shared:
+            value = shared[column]
+        else:
+            value, plain = None, F.lit(usual.get(column))
+            for name, m in made.items():
+                given = m.record.get(column, plain).cast(TYPES.get(column, "string"))
+                value = F.when(at == name, given) if value is None else value.when(at == name, given)
+        columns.append(value.cast(TYPES.get(column, "string")).alias(column))
+    return rows.select(*columns, "status_code", "found")
+
+
+def parse_pages(pages: DataFrame, sources: Mapping[str, Source] = SOURCES) -> DataFrame:
+    """Parsed records of all given sources, by default the known ones."""
+    known = pages.where(F.col("source").isin(*sources) & (F.length("content") > 0))
+    return _extracted(known, sources, F.lit(True)).where("found").drop("status_code", "found")
+
+
+def _is_comp(mode: str) -> Column:
     if mode == "scheduled":
         comp = F.col("is_completed") & F.col("sale_date").isNotNull()
     elif mode == "comp_first":
@@ -381,17 +442,23 @@ def routed(parsed: DataFrame, mode: str = "scheduled") -> DataFrame:
         comp = F.col("is_completed") | priced
     else:
         raise ValueError(f"unknown routing mode {mode!r}")
-    return parsed.withColumn("route", F.when(F.coalesce(comp, F.lit(False)), "comp").otherwise("listing"))
+    return F.coalesce(comp, F.lit(False))
+
+
+def routed(parsed: DataFrame, mode: str = "scheduled") -> DataFrame:
+    """Where each record goes. scheduled: completed records with a sale date are comps, all else
+    listings. comp_first: whatever closed or bears a final price is a comp."""
+    return parsed.withColumn("route", F.when(_is_comp(mode), "comp").otherwise("listing"))
 
 
-def page_outcomes(pages: DataFrame, routed_records: DataFrame) -> DataFrame:
-    """What became of every page: a 404 marks its listing removed, other failures are errors."""
-    routes = routed_records.select("source", F.col("source_url").alias("url"), "route")
+def page_outcomes(pages: DataFrame, sources: Mapping[str, Source] = SOURCES, mode: str = "scheduled") -> DataFrame:
+    """What became of every page (source, url, outcome): a 404 marks its listing removed, other failures are errors, the
+    rest is a comp or a listing. Read off the extraction itself, page by page."""
     status = F.col("status_code")
-    return pages.select("source", "url", "status_code").join(routes, ["source", "url"], "left").select(
-        "source", "url",
+    return _extracted(pages, sources, F.length("content") > 0).select(
+        "source", F.col("source_url").alias("url"),
         F.when(status == 404, "removed")
         .when(status != 200, "fetch_error")
-        .when(F.col("route").isNull(), "extraction_error")
-        .otherwise(F.col("route")).alias("outcome"),
+        .when(~F.col("found"), "extraction_error")
+        .when(_is_comp(mode), "comp").otherwise("listing").alias("outcome"),
     )
