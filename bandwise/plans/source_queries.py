@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bandwise import adapters as A
 from bandwise.functions import dictionaries as D
+from bandwise.functions.dom import Pick
 from bandwise.operators.normalizing import normalize_records
 from bandwise.plans import oracle_sql as O
 from bandwise.plans.band_queries import written_bands
@@ -218,6 +219,17 @@ def replay(spark, sf):
     return P.parse_pages(latest).select("source_url", "year")
 
 
+@query("src12_versioned_replay", expected(
+    "CASE WHEN y BETWEEN 1965 AND 1999 OR (strict AND y BETWEEN 1960 AND 1999) THEN y END AS year, source = 'bat' AS again"))
+def versioned_replay(spark, sf):
+    """A replay after one source's rules changed (it looked for titles elsewhere): only its pages are read again."""
+    old = P.Source(P.bat, P.BAT | {"slots": P.BAT["slots"] | {"title": Pick(("h5",), text="tight")}})
+    folder, pages = run_folder(spark, "replay"), A.auction_pages(spark, sf)
+    P.extracted_pages(pages, P.SOURCES | {"bat": old}).write.parquet(folder)
+    rows = P.replayed(spark.read.parquet(folder), pages)
+    return rows.where("found").select("source_url", "year", "again")
+
+
 def _tracked(spark, sf):
     tracker = S.PriceTracker(spark, S.run_folder(spark, "tracker"))
     stream = S.table_stream(spark, sf, "events").select(

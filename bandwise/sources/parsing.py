@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -434,6 +436,39 @@ def parse_pages(pages: DataFrame, sources: Mapping[str, Source] = SOURCES) -> Da
     return _extracted(known, sources, F.lit(True)).where("found").drop("status_code", "found")
 
 
+def fingerprint(source: Source) -> str:
+    """Changes whenever the slots, the statuses or the code of a source's extraction change."""
+    rules = (repr(source.spec), source.statuses, inspect.getsource(source.extraction))
+    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+
+
+def extracted_pages(pages: DataFrame, sources: Mapping[str, Source] = SOURCES) -> DataFrame:
+    """Every page of the sources in the parsed shape, with `found`, `status_code` and the fingerprint of the rules it was
+    read by: what a replay starts from."""
+    known = pages.where(F.col("source").isin(*sources))
+    marks = F.create_map(*[F.lit(x) for name, source in sources.items() for x in (name, fingerprint(source))])
+    return _extracted(known, sources, F.length("content") > 0).withColumn("rules", marks[F.col("source")])
+
+
+def replay_due(stored: DataFrame, latest: DataFrame, sources: Mapping[str, Source] = SOURCES) -> DataFrame:
+    """The pages of `latest` (one snapshot per page) that `stored` does not hold by the present rules and from this
+    snapshot or a newer one."""
+    marks = F.create_map(*[F.lit(x) for name, source in sources.items() for x in (name, fingerprint(source))])
+    done = stored.where(F.col("rules") == marks[F.col("source")]).select(
+        "source", F.col("source_url").alias("url"), F.col("scrape_ts").alias("_done"))
+    return latest.join(done, ["source", "url"], "left").where(
+        F.col("source").isin(*sources) & (F.col("_done").isNull() | (F.col("_done") < F.col("fetched_at")))).drop("_done")
+
+
+def replayed(stored: DataFrame, latest: DataFrame, sources: Mapping[str, Source] = SOURCES) -> DataFrame:
+    """The stored pages after a replay of the newest snapshots, with `again`: whether a row was extracted anew. Only the
+    pages that are due are read; rows of other pages stay as they are."""
+    due = replay_due(stored, latest, sources)
+    gone = due.select("source", F.col("url").alias("source_url"))
+    kept = stored.drop("again").join(gone, ["source", "source_url"], "left_anti").select(stored.drop("again").columns)
+    return kept.withColumn("again", F.lit(False)).unionByName(extracted_pages(due, sources).withColumn("again", F.lit(True)))
+
+
 def _is_comp(mode: str) -> Column:
     if mode == "scheduled":
         comp = F.col("is_completed") & F.col("sale_date").isNotNull()

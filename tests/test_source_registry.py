@@ -53,3 +53,23 @@ def test_one_scan_one_python_stage_one_json_parse(spark, tmp_path):
     assert plan.count("FileScan parquet") == 1 and plan.count("ArrowEvalPython") == 1
     assert "Union" not in plan and "Exchange" not in plan
     assert plan.count("parseJson") + plan.count("parse_json(") == 1
+
+
+def test_a_replay_reads_what_changed(spark, tmp_path):
+    table = pages(spark, *[("bat", f"<h1>19{70 + k} Porsche 911 T</h1>", 200) for k in range(4)], ("carsandbids", "<h1>1984 Porsche 911</h1>", 200),
+                  ("carsandbids", "<p>none</p>", 200), ("ebay", "{}", 500))
+    old = P.Source(P.bat, P.BAT | {"slots": P.BAT["slots"] | {"title": Pick(("h5",))}})
+    P.extracted_pages(table, P.SOURCES | {"bat": old}).write.parquet(str(tmp_path / "v0"))
+    stored = spark.read.parquet(str(tmp_path / "v0"))
+    assert stored.where("found").count() == 1 and stored.count() == 7
+    assert sorted(r.url for r in P.replay_due(stored, table).collect()) == ["u0", "u1", "u2", "u3"]
+    P.replayed(stored, table).write.parquet(str(tmp_path / "v1"))
+    after = spark.read.parquet(str(tmp_path / "v1"))
+    full = P.extracted_pages(table)
+    assert sorted(map(str, after.drop("again").collect())) == sorted(map(str, full.collect()))
+    assert {r.source for r in after.where("again").collect()} == {"bat"}
+    assert P.replay_due(after, table).count() == 0  # pages without a record are not read again either
+    newer = table.withColumn("fetched_at", F.when(F.col("page_id") == 4, F.col("fetched_at") + F.expr("interval 1 day")).otherwise(F.col("fetched_at")))
+    assert [r.url for r in P.replay_due(after, newer).collect()] == ["u4"]
+    assert P.replayed(after, newer).where("again").count() == 1 and P.replayed(after, newer).count() == 7
+    assert P.fingerprint(P.SOURCES["bat"]) == P.fingerprint(P.Source(P.bat, P.BAT)) != P.fingerprint(old)
