@@ -81,6 +81,7 @@ def candidate_alerts(
     old_d, ask_d = old.cast("double"), ask.cast("double")
     drop = (old_d - ask_d) / old_d * 100
 
+    # fixed values: the wording of the reasons
     new_text = F.concat(F.lit("New listing: "), url)
     rules = [
         F.when(

@@ -86,7 +86,7 @@ query("x3_year", expected("CASE WHEN y BETWEEN 1965 AND 1999 OR (strict AND y BE
 query("x4_trim", expected("CASE WHEN strict THEN trim(tr || ' ' || body) ELSE tr END AS trim"))(_fields("trim"))
 
 
-@query("x5_item_specs", f"""WITH {PAGES} SELECT source_url, vin AS chassis, paint || ' over Black Leather' AS exterior_color
+@query("x5_item_specs", f"""WITH {PAGES} SELECT source_url, vin AS chassis, paint || ' over Tan Cloth' AS exterior_color
 FROM g WHERE source = 'bat'""")
 def item_specs(spark, sf):
     """Labelled list items of the first source as a map."""

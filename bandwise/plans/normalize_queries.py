@@ -320,7 +320,7 @@ def review_queue(spark, sf):
 
 
 # The dictionaries as files: the fixed ones with other meanings for some aliases and years.
-_ALIAS_FILE = {c: [*(a for a in names if a != "midnight blue"), *(["midnight blue", "gards red"] if c == "blue" else [])]
+_ALIAS_FILE = {c: [*(a for a in names if a != "midnight blue"), *(["midnight blue", "signl red"] if c == "blue" else [])]
                for c, names in D.COLOR_ALIASES.items()}
 _YEARS_FILE = (("G0", 1958, 1964), ("G2", 1970, 1977), *(g for g in D.GENERATION_YEARS if g[0] != "G2"))
 _YEARS_FILE = (*_YEARS_FILE[:2], ("G1", 1965, 1969), *_YEARS_FILE[3:])

@@ -86,6 +86,7 @@ RAW_PAGE_SCHEMA = T.StructType([
 
 HISTORY_TYPE = "array<struct<price:double,ts:string>>"
 
+# --- fixed values: columns of the stored listings and comps ----------------------------
 LISTING_COLUMNS = (
     "id", "source", "source_url", "scrape_ts", "listing_status", "year", "generation",
     "body_style", "trim", "drivetrain", "engine_variant", "transmission",
