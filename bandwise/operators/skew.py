@@ -33,25 +33,24 @@ def with_previous(
     """Add struct `name`: `values` of the preceding row of the same key in `order`.
 
     Each key is cut into chunks that never decrease along the order (time slices, say), and
-    lag() runs within a chunk, so a hot key is spread over many tasks. The first row of a chunk
-    takes the last row of the nearest earlier chunk; those last rows come from an aggregate with
-    map-side combine, one row per key and chunk.
+    lag() runs within a chunk, so a hot key is spread over many tasks. Rows are shuffled once by
+    (key, chunk), and both uses below read that exchange. Only the first and last row of a chunk
+    travel again, by key: among them, the row before a first one is the last of the nearest
+    earlier chunk. Null keys are a key of their own.
     """
-    rows = df.withColumn("_chunk", chunk)
-    inner = rows.withColumn(
-        "_in_chunk",
-        F.lag(F.struct(*values)).over(Window.partitionBy(*keys, "_chunk").orderBy(*order)),
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    rows = (
+        df.withColumn("_chunk", chunk).repartition(*keys, "_chunk")
+        .withColumn("_before", F.lag(F.struct(*values)).over(w))
+        .withColumn("_first", F.row_number().over(w) == 1)
+        .withColumn("_last", F.lead(F.lit(True)).over(w).isNull())
     )
-    lasts = rows.groupBy(*keys, "_chunk").agg(
-        F.max_by(F.struct(*values), F.struct(*order)).alias("_last")
-    )
-    carry = lasts.select(
-        *keys,
-        "_chunk",
-        F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry"),
-    )
-    return (
-        inner.join(carry, [*keys, "_chunk"], "left")
-        .withColumn(name, F.coalesce("_in_chunk", "_carry"))
-        .drop("_chunk", "_in_chunk", "_carry")
+    ends = rows.where(F.col("_first") | F.col("_last")).withColumn(
+        "_before",
+        F.when(
+            F.col("_first"),
+            F.lag(F.struct(*values)).over(Window.partitionBy(*keys).orderBy("_chunk", F.col("_last"))),
+        ).otherwise(F.col("_before")),
     )
+    inner = rows.where(~F.col("_first") & ~F.col("_last"))
+    return inner.unionByName(ends).withColumnRenamed("_before", name).drop("_chunk", "_first", "_last")

@@ -160,9 +160,11 @@ SELECT alert_type, listing_id, severity, row_number() OVER (ORDER BY
 def alert_digest_order(spark, sf):
     rows = S.search_alerts(stored_alerts(spark, sf)).withColumn("tier", S.severity_rank(F.col("severity")))
     rows = rows.withColumn("age", -F.floor(F.unix_seconds(F.col("triggered_at").cast("timestamp")) / 3600))
+    # A nightly run stamps all its alerts alike: one stamp is cut again by the heads of listing ids.
+    rows = rows.withColumn("age", -F.unix_micros(F.col("triggered_at").cast("timestamp")))
+    rows = rows.withColumn("head", F.substring("listing_id", 1, 4))
     ranked = S.ranked_by_steps(
-        rows, [], ["tier", "age"],
-        [F.col("triggered_at").desc(), F.col("listing_id").asc(), F.col("alert_type").asc()], "position")
+        rows, [], ["tier", "age", "head"], [F.col("listing_id").asc(), F.col("alert_type").asc()], "position")
     return ranked.select("alert_type", "listing_id", "severity", "position")
 
 

@@ -286,6 +286,28 @@ def page_pipeline(spark, sf):
     return listings.unionByName(comps)
 
 
+@query("st1_page_price_changes", f"""WITH {_LOG}, p AS (SELECT *, lag(scrape_ts) OVER w AS old_ts,
+  sum(CASE WHEN status_code = 200 THEN 1 ELSE 0 END) OVER w AS nth FROM log
+  WINDOW w AS (PARTITION BY listing_key ORDER BY scrape_ts, event_id)),
+asks AS (SELECT *, lag(c) OVER (PARTITION BY listing_key ORDER BY scrape_ts, event_id) AS old FROM p WHERE status_code = 200)
+SELECT 'market.example/' || listing_key AS source_url, scrape_ts, CAST(nullif(old, 0) AS DOUBLE) AS old_price, old_ts,
+  CAST(c AS DOUBLE) AS new_price FROM asks WHERE nth > 1 AND c <> 0 AND c IS DISTINCT FROM old""")
+def page_price_changes(spark, sf):
+    """Every sighting of the log as a page; the page stream keeps the history of the asks."""
+    root, log = S.run_folder(spark, "asks"), A.snapshot_log(spark, sf)
+    page = F.concat(
+        F.lit('<h1 class="listing-title">1988 Roadcar</h1><span class="bid-amount">$'),
+        (F.col("price") * 100).cast("long").cast("string"), F.lit("</span>"))
+    pages = log.select(
+        F.col("event_id").alias("page_id"), F.lit("pcarmarket").alias("source"), F.concat(F.lit("market.example/"), "listing_key").alias("url"),
+        F.col("scrape_ts").alias("fetched_at"), F.when(F.col("status_code") == 200, page).otherwise("").alias("content"),
+        F.lit("html").alias("content_type"), "status_code")
+    archive.write_pages(pages, f"{root}/archive", empty=True)
+    ingest = S.PageIngest(spark, root)
+    ingest.run(archive.follow_pages(spark, f"{root}/archive").select(pages.columns))
+    return ingest.price_changes().select("source_url", "scrape_ts", "old_price", "old_ts", "new_price")
+
+
 @query("st2_streaming_price_drops", f"""{_CHANGES}
 SELECT listing_key, event_id, scrape_ts, old_c / 100.0 AS old_price, c / 100.0 AS new_price FROM changes
 WHERE old_c > 0 AND c > 0 AND (old_c - c) * 100 >= 5 * old_c""")

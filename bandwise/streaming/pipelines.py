@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from bandwise.operators.alerts import is_price_drop
 from bandwise.operators.enrich import ask_view
 from bandwise.operators.normalizing import normalize_records
 from bandwise.operators.skew import latest_per_key, time_chunk, with_previous
-from bandwise.schemas import NATURAL_KEY
+from bandwise.schemas import HISTORY_TYPE, NATURAL_KEY
 from bandwise.session import run_folder  # noqa: F401
 from bandwise.sources.parsing import parse_pages, routed
 
@@ -112,13 +114,16 @@ class PageIngest:
     overwrites its own folder, and writes grow with the batch alone. The tables are one aggregate
     with map-side combine over the records, ordered by fetch time and not by arrival, so late pages
     never overwrite newer ones and any split into micro-batches gives the same tables. Pages that
-    answered 404 are not parsed: they mark a known listing removed until it is seen again.
+    answered 404 are not parsed: they mark a known listing removed until it is seen again. Of
+    listings fetched at the same moment, the one with the greater hash is the later; a 404 of that
+    moment comes after them.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
+        started = time.monotonic()
         gone = F.col("status_code") == 404
         records = normalize_records(routed(parse_pages(batch.where(~gone))))
         removed = batch.where(gone).select(
@@ -126,6 +131,10 @@ class PageIngest:
             F.lit("removed").alias("route"))
         records.unionByName(removed, allowMissingColumns=True).write.mode("overwrite").parquet(
             f"{self.root}/records/batch={batch_id}")
+        batch.groupBy("source").agg(
+            F.count("*").alias("pages_fetched"), F.count_if(gone).alias("pages_gone")
+        ).withColumn("duration_s", F.lit(round(time.monotonic() - started, 2))).write.mode("overwrite").parquet(
+            f"{self.root}/runs/batch={batch_id}")
 
     def run(self, stream: DataFrame) -> None:
         """Drain what is there."""
@@ -138,14 +147,54 @@ class PageIngest:
         running.awaitTermination()
 
     def _records(self) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.root}/records").drop("batch")
+        rows = self.spark.read.parquet(f"{self.root}/records")
         for key in NATURAL_KEY:
             rows = rows.where(F.col(key).isNotNull() & (F.col(key) != ""))
         return rows
 
+    def runs(self) -> DataFrame:
+        """One row per source and micro-batch: pages, records, how many were new to their table, errors, duration.
+
+        Failed fetches, pages without a record and records without a key are extraction errors.
+        """
+        comp = (F.col("route") == "comp").alias("comp")
+        kept = self._records().where(F.col("route") != "removed").select(*NATURAL_KEY, comp, "batch")
+        found = kept.groupBy("source", "batch").agg(F.count("*").alias("records_extracted"))
+        new = kept.groupBy(*NATURAL_KEY, "comp").agg(F.min("batch").alias("batch")).groupBy("source", "batch").agg(
+            F.count("*").alias("records_inserted"))
+        told = (self.spark.read.parquet(f"{self.root}/runs").join(found, ["source", "batch"], "left")
+                .join(new, ["source", "batch"], "left").na.fill(0, ["records_extracted", "records_inserted"]))
+        return told.select(
+            "source", "batch", "pages_fetched", "records_extracted", "records_inserted",
+            (F.col("records_extracted") - F.col("records_inserted")).alias("records_updated"),
+            (F.col("pages_fetched") - F.col("pages_gone") - F.col("records_extracted")).alias("extraction_errors"),
+            F.lit(0).cast("long").alias("normalization_errors"), "duration_s")
+
+    def price_changes(self) -> DataFrame:
+        """One row per changed ask of a listing: the new price with its time, the price before it and when the
+        listing had last been touched, by a page or by its removal. A listing's first price and missing prices change
+        nothing, but a price that follows a missing one does."""
+        keys, day = list(NATURAL_KEY), time_chunk("scrape_ts", 86_400)
+        rows = self._records()
+        values = [c for c in rows.columns if c not in (*keys, "route", "batch")]
+        asks = rows.where(F.col("route") == "listing").select(
+            *keys, "scrape_ts", "asking_price", F.xxhash64(*values).alias("tie"))
+        old = with_previous(asks, keys, day, ["scrape_ts", "tie"], ["asking_price", "scrape_ts"], name="old")
+        changed = old.where(
+            F.col("old").isNotNull() & (F.col("asking_price") != 0)
+            & ~F.col("asking_price").eqNullSafe(F.col("old.asking_price")))
+        gone = rows.where(F.col("route") == "removed").select(*keys, "scrape_ts", F.lit(True).alias("gone"))
+        both = changed.withColumn("gone", F.lit(False)).unionByName(gone, allowMissingColumns=True)
+        touched = with_previous(both, keys, day, ["scrape_ts", "gone", "tie"], ["scrape_ts"], name="last")
+        return touched.where(~F.col("gone")).select(
+            *keys, "scrape_ts", "tie", F.nullif(F.col("old.asking_price"), F.lit(0)).alias("old_price"),
+            F.greatest("old.scrape_ts", "last.scrape_ts").alias("old_ts"), F.col("asking_price").alias("new_price"))
+
     def listings(self) -> DataFrame:
-        """One row per listing: its newest record, the time it was first seen, and its status."""
-        rows, keys = self._records(), list(NATURAL_KEY)
+        """One row per listing: its newest record, the times it was first seen and last touched, its status and the
+        history of its own asks (null before the first change), as repeated upserts in the order of the fetches leave
+        it."""
+        rows, keys = self._records().drop("batch"), list(NATURAL_KEY)
         values = [c for c in rows.columns if c not in (*keys, "route")]
         seen, at = F.col("route") == "listing", F.struct("scrape_ts", F.xxhash64(*values))
         found = rows.where(F.col("route") != "comp").groupBy(*keys).agg(
@@ -153,12 +202,17 @@ class PageIngest:
             F.min(F.when(seen, F.col("scrape_ts"))).alias("created_at"),
             F.max(F.when(~seen, F.col("scrape_ts"))).alias("gone_at"))
         status = F.when(F.col("gone_at") >= F.col("row.scrape_ts"), "removed").otherwise("active")
-        return found.where(F.col("row").isNotNull()).select(
-            *keys, "row.*", "created_at", status.alias("listing_status"))
+        entry = F.struct(F.col("old_price").cast("double").alias("price"), F.col("old_ts").cast("string").alias("ts"))
+        noted = self.price_changes().groupBy(*keys).agg(F.array_sort(
+            F.collect_list(F.struct("scrape_ts", "tie", entry.alias("entry")))).alias("changes"))
+        history = F.transform("changes", lambda c: c["entry"]).cast(HISTORY_TYPE)
+        return found.where(F.col("row").isNotNull()).join(noted, keys, "left").select(
+            *keys, "row.*", "created_at", F.greatest("row.scrape_ts", "gone_at").alias("updated_at"),
+            status.alias("listing_status"), history.alias("price_history"))
 
     def comps(self) -> DataFrame:
         """One row per sale: its first record, with the newest confidence that is not zero."""
-        rows, keys = self._records(), list(NATURAL_KEY)
+        rows, keys = self._records().drop("batch"), list(NATURAL_KEY)
         values = [c for c in rows.columns if c not in (*keys, "route", "normalization_confidence")]
         score = F.nullif(F.col("normalization_confidence"), F.lit(0))
         at = F.struct("scrape_ts", F.xxhash64(*values))

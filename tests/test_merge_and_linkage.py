@@ -55,16 +55,18 @@ def test_comps_are_write_once(spark):
 
 def test_previous_across_chunks(spark):
     rng = random.Random(3)
-    rows = [(0 if rng.random() < .5 else rng.randrange(4), i, T0 + dt.timedelta(minutes=rng.randrange(6000)),
+    rows = [(0 if rng.random() < .5 else rng.choice([None, 1, 2, 3]), i, T0 + dt.timedelta(minutes=rng.randrange(6000)),
              rng.random()) for i in range(600)]
     df = spark.createDataFrame(rows, "k int, id int, ts timestamp, v double")
-    got = {(r["k"], r["id"]): r["prev"] and r["prev"]["v"] for r in with_previous(
-        df, ["k"], time_chunk("ts"), ["ts", "id"], ["v"]).collect()}
+    found = with_previous(df, ["k"], time_chunk("ts"), ["ts", "id"], ["v"])
+    got = {(r["k"], r["id"]): r["prev"] and r["prev"]["v"] for r in found.collect()}
     want, last = {}, {}
-    for k, i, ts, v in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+    for k, i, ts, v in sorted(rows, key=lambda r: (r[2], r[1])):
         want[k, i] = last.get(k)
         last[k] = v
     assert got == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan.split("Initial Plan")[0]  # all rows are shuffled once by key and slice
 
 
 def test_similar_duplicates_against_brute_force(spark):
