@@ -14,8 +14,13 @@ from bandwise.llm.common import components, written
 
 WIDTH = 2.0
 SEED = 20_221
-#: Members of one block of a bucket; larger buckets are compared block by block.
-BLOCK = 256
+#: Members of one block of a bucket; larger buckets are compared block by block, so a member is sent once for each
+#: BLOCK members of its bucket.
+BLOCK = 4096
+#: Groups above this size are compared by tiles, of so many rows and columns of cosines.
+LAGGED, TILE = 64, 512
+#: Up to this bucket size, members that no sign sketch lies near are dropped before vectors travel.
+SKETCHED = 256
 #: Sign bits that spare far pairs of small buckets the exact check, and how many may differ (at cosine 0.9 the mean
 #: is 18 and the deviation 4).
 SKETCH_BITS, SKETCH_APART = 128, 38
@@ -106,22 +111,42 @@ def _compare(rows: pa.Table, cosine: float) -> pa.RecordBatch:
     group = np.concatenate([[0], np.cumsum(change)])
     links = np.zeros(len(ids), dtype=np.int64)
     left, right = [], []
-    for lag in range(1, len(ids)):
-        at = np.nonzero(group[lag:] == group[:-lag])[0]
+
+    def linked(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs that meet here first and are near; counts them."""
+        meet = (bi[i] == bj[i]) | (side[i] != side[j])
+        i, j = i[meet], j[meet]
+        near = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine
+        i, j = i[near], j[near]
+        first = (keys[i] == keys[j]).argmax(axis=1) == ring[i]
+        i, j = i[first], j[first]
+        np.add.at(links, i, weight[j])
+        np.add.at(links, j, weight[i])
+        return i, j
+
+    starts = np.concatenate([[0], np.nonzero(change)[0] + 1, [len(ids)]])
+    large = np.diff(starts) > LAGGED
+    for lag in range(1, LAGGED):
+        at = np.nonzero((group[lag:] == group[:-lag]) & ~large[group[lag:]])[0]
         if not len(at):
             break
         for part in np.array_split(at, len(at) // 20_000 + 1):
-            i, j = part, part + lag
-            meet = (bi[i] == bj[i]) | (side[i] != side[j])
-            i, j = i[meet], j[meet]
-            near = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine
-            i, j = i[near], j[near]
-            first = (keys[i] == keys[j]).argmax(axis=1) == ring[i]
-            i, j = i[first], j[first]
-            np.add.at(links, i, weight[j])
-            np.add.at(links, j, weight[i])
+            i, j = linked(part, part + lag)
             left.append(i)
             right.append(j)
+    for lo, hi in zip(starts[:-1][large], starts[1:][large], strict=True):
+        for x in range(lo, hi, TILE):
+            for y in range(x, hi, TILE):
+                # the product's sums may round otherwise, so it only proposes
+                i, j = np.nonzero(unit[x:min(x + TILE, hi)] @ unit[y:min(y + TILE, hi)].T >= cosine - 1e-9)
+                up = i + x < j + y
+                i, j = linked(i[up] + x, j[up] + y)
+                # of a tile's links only a spanning forest is kept
+                places = np.concatenate([np.arange(x, x + TILE), np.arange(y, y + TILE)])
+                forest = _roots(2 * TILE, i - x, j - y + (TILE if y > x else 0))
+                told = np.nonzero(forest != np.arange(2 * TILE))[0]
+                left.append(places[told])
+                right.append(places[forest[told]])
     a = np.concatenate([np.zeros(0, int), *left])
     b = np.concatenate([np.zeros(0, int), *right])
     root = _roots(len(ids), a, b)
@@ -154,13 +179,33 @@ def compared(members: DataFrame, cosine: float) -> DataFrame:
     return dealt.mapInArrow(run, "id long, links long, root long")
 
 
+def dealt(keyed: DataFrame) -> DataFrame:
+    """(id, ring, key, bi, bj, side): which groups every row of `hashed` goes to. Buckets of one member go nowhere."""
+    slots = keyed.select("id", "s0", "s1", F.posexplode("keys").alias("ring", "key"))
+    sizes = slots.groupBy("ring", "key").agg(F.count("*").alias("size")).where("size > 1")
+    slots = written(slots.join(sizes, ["ring", "key"]))
+    few = slots.where(F.col("size") <= SKETCHED)
+    x, y = few.alias("x"), few.alias("y")
+    apart = (F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))))
+    partnered = x.join(y, (F.col("x.ring") == F.col("y.ring")) & (F.col("x.key") == F.col("y.key"))
+                       & (F.col("x.id") != F.col("y.id")) & (apart <= SKETCH_APART), "left_semi")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    members = partnered.union(slots.where(F.col("size") > SKETCHED)).select("id", "ring", "key", blocks.alias("blocks"))
+    members = members.withColumn("block", F.pmod(F.xxhash64("id", "ring"), F.col("blocks")))
+    return members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "id", F.col("ring").cast("int").alias("ring"), "key",
+        F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
+        (F.col("block") > F.col("other")).cast("int").alias("side"))
+
+
 def embedding_links(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     Equal vectors form a class whose least id stands for it. Classes enter several tables of quantised random
     projections; buckets are cut into blocks, every two blocks of a bucket meet in one task, and cosines are checked
     there in double precision. Tasks give counts and spanning links, never pairs, so output stays linear in a group.
-    In small buckets, members without any partner of a similar sign sketch are dropped before vectors travel.
+    In small buckets, members without any partner of a similar sign sketch are dropped before vectors travel. A task
+    holds two blocks of vectors at most; a bucket of n members is sent n / BLOCK times, once if it is one block.
 
     Null or zero vectors and vectors with null or non-finite components link with nothing: no links, their own
     component, kept. Vectors of different length never link. A null id gives no links and a null component, kept.
@@ -179,22 +224,7 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     total = classes.count()
     hashes, tables = plan_tables(total, cosine)
     keyed = written(hashed(classes.select("id", "emb"), hashes, tables))
-    slots = keyed.select("id", "s0", "s1", F.posexplode("keys").alias("ring", "key"))
-    sizes = slots.groupBy("ring", "key").agg(F.count("*").alias("size")).where("size > 1")
-    slots = written(slots.join(sizes, ["ring", "key"]))
-    few = slots.where(F.col("size") <= BLOCK)
-    x, y = few.alias("x"), few.alias("y")
-    apart = (F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))))
-    partnered = x.join(y, (F.col("x.ring") == F.col("y.ring")) & (F.col("x.key") == F.col("y.key"))
-                       & (F.col("x.id") != F.col("y.id")) & (apart <= SKETCH_APART), "left_semi")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    members = partnered.union(slots.where(F.col("size") > BLOCK)).select("id", "ring", "key", blocks.alias("blocks"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("id", "ring"), F.col("blocks")))
-    meets = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "id", F.col("ring").cast("int").alias("ring"), "key",
-        F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"))
-    carried = meets.join(classes.select("id", "n", "emb").join(keyed.select("id", "keys"), "id"), "id")
+    carried = dealt(keyed).join(classes.select("id", "n", "emb").join(keyed.select("id", "keys"), "id"), "id")
     found = written(compared(carried.select("id", "ring", "key", "bi", "bj", "side", "n", "emb", "keys"), cosine))
     names = classes.select("id", "cls")
     edges = (found.where("root <> id").select("id", "root").distinct().join(names, "id")

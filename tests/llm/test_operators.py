@@ -346,6 +346,36 @@ def test_embedding_links(spark):
     assert lsh.embedding_links(table.limit(0)).count() == 0
 
 
+def test_embedding_crowd_against_brute_force(spark):
+    """3,000 vectors around one centre: links and components of every vector, and how often the crowd is sent."""
+    rng = np.random.default_rng(8)
+    crowd = rng.standard_normal(24) + rng.standard_normal((3_000, 24)) * 0.33
+    alone = rng.standard_normal((500, 24))
+    unit = np.concatenate([crowd, alone])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "vec_id long, embedding array<double>")
+    hashes, tables = lsh.plan_tables(len(unit), 0.9)
+    keyed = lsh.hashed(table, hashes, tables)
+    assert lsh.dealt(keyed).count() <= len(unit) * tables  # once for each table, however many members a bucket has
+    keys = np.array([r["keys"] for r in keyed.orderBy("id").select("keys").collect()])
+    near = np.zeros((len(unit), len(unit)), dtype=bool)
+    for t in range(tables):
+        near |= keys[:, t, None] == keys[None, :, t]
+    close = unit @ unit.T >= 0.9
+    np.fill_diagonal(close, False)
+    near &= close
+    assert near.sum() >= 0.9 * close.sum() > 1_000_000
+    got = {r.vec_id: r for r in lsh.embedding_links(table).collect()}
+    assert [got[i].n_links for i in range(len(unit))] == near.sum(axis=1).tolist()
+    reach = np.arange(len(unit))
+    while True:
+        low = np.minimum(reach, np.where(near, reach[None, :], len(unit)).min(axis=1))
+        if (low == reach).all():
+            break
+        reach = low
+    assert [got[i].component_id for i in range(len(unit))] == reach.tolist()
+
+
 def test_main_text(spark):
     words = [prose(30) for _ in range(40)]
     page = ("<html><head><title>t</title><script>var a='<p>no</p>';</script></head><body><nav><ul><li><a href=/a>menu one</a></li></ul></nav>"
