@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import functions as F
 
@@ -233,6 +234,39 @@ def test_hilbert_curve_and_shards(spark):
     assert hilbert.hilbert_shards(table.limit(0)).count() == 0
 
 
+def test_shards_let_a_reader_skip_files(spark, tmp_path):
+    """Written along the curve, over half the files' ranges of (source, size) exclude a filter's value; written as they came, none does."""
+    rng = np.random.default_rng(12)
+    rows = [(i, "x" * int(2 ** rng.uniform(0, 12)), ("de", "en", "fr")[i % 3], f"s{rng.integers(0, 16):02d}") for i in range(4_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text"))
+    hilbert.write_shards(table, hilbert.hilbert_shards(table, 16), str(tmp_path / "sorted"))
+    table.repartition(16).write.parquet(str(tmp_path / "plain"))
+
+    def read(name, source, longest):
+        """Files whose row groups may hold such rows, and all files."""
+        may = files = 0
+        for f in (tmp_path / name).rglob("*.parquet"):
+            meta = pq.ParquetFile(f).metadata
+            at = {meta.row_group(0).column(c).path_in_schema: c for c in range(meta.num_columns)}
+            stats = [(meta.row_group(g).column(at["source"]).statistics, meta.row_group(g).column(at["n_chars"]).statistics)
+                     for g in range(meta.num_row_groups)]
+            files += 1
+            may += any(a.min <= source <= a.max and b.min <= longest for a, b in stats)
+        return may, files
+
+    back = spark.read.parquet(str(tmp_path / "sorted"))
+    assert sorted((r.doc_id, r.text) for r in back.select("doc_id", "text").collect()) == sorted(r[:2] for r in rows)
+    kept = skipped = 0
+    for source in ("s00", "s03", "s08", "s15"):
+        may, files = read("sorted", source, 16)
+        all_may, all_files = read("plain", source, 16)
+        assert all_may == all_files
+        kept, skipped = kept + may, skipped + files - may
+        want = sorted(r[0] for r in rows if r[3] == source and len(r[1]) <= 16)
+        assert sorted(r.doc_id for r in back.where((F.col("source") == source) & (F.col("n_chars") <= 16)).collect()) == want
+    assert skipped >= kept
+
+
 def test_snapshot_collapse(spark):
     def talk(conv, *turns):
         return [(conv, k, r, t) for k, (r, t) in enumerate(turns)]
