@@ -65,6 +65,24 @@ _one_rule("r4_underpriced", "underpriced")
 _one_rule("r5_price_drops", "price_drop")
 
 
+@query("r5_new_price_drops", O.with_alerts("""
+, drops AS (SELECT listing_id, c.delta_pct, CAST(l.ship_day - 7 AS VARCHAR) AS state, conf, c.created_at
+  FROM cand c JOIN listings l ON l.id = c.listing_id WHERE alert_type = 'price_drop'),
+told AS (SELECT listing_id, CASE WHEN conf >= 0.94 THEN state ELSE '2000-01-01' END AS state
+  FROM drops, today WHERE created_at < CAST(d AS TIMESTAMP) - INTERVAL 30 DAY)
+SELECT listing_id, state, delta_pct FROM drops ANTI JOIN told USING (listing_id, state)"""))
+def new_price_drops(spark, sf):
+    """Price drops whose state, the time of the last history entry, was not alerted yet: a dismissed alert stays quiet
+    until the history grows. On file are old listings; those of low confidence were alerted for an earlier state."""
+    moment = now(spark, sf)
+    asked = view(spark, sf).withColumn("state", F.try_element_at("price_history", F.lit(-1))["ts"])
+    drops = A.candidate_alerts(asked, moment, carry=("state", "normalization_confidence", "created_at")).where(
+        F.col("alert_type") == "price_drop")
+    told = drops.where(F.col("created_at") < F.lit(moment - dt.timedelta(days=30))).withColumn(
+        "state", F.when(F.col("normalization_confidence") >= 0.94, F.col("state")).otherwise("2000-01-01"))
+    return A.new_price_drops(drops, told, "state").select("listing_id", "state", "delta_pct")
+
+
 @query("r7_reason_texts", O.with_alerts("""
 SELECT alert_type, count(*) AS alerts, count(DISTINCT reason) AS texts,
   min(reason) AS first_text, max(reason) AS last_text FROM cand GROUP BY 1"""))
