@@ -72,7 +72,8 @@ def render_chats(log: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     """One row per maximal conversation: its id, n_turns and text, every turn between role header and end mark.
 
     Marks inside a text are escaped by a backslash; null roles and texts render empty. A conversation is one string
-    in the result, so its text must fit a row.
+    in the result, so its text must fit a row. Very long turns are hashed, and only those kept are joined to a text. An
+    empty table gives no rows.
     """
     kept = collapse_snapshots(log, conv_col, turn_col, role_col, text_col)
     turns = log.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"),

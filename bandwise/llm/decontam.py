@@ -194,7 +194,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     are shuffled as rows of an equi-join, which the engine may split.
 
     Null and empty texts overlap with nothing; so do items of one or two words, which prove nothing. Repeated
-    documents and items are reported once per id; rows without an id are reported with a null id.
+    documents and items are reported once per id; rows without an id are reported with a null id. A very long text is
+    read whole in its task, however long; without documents or without items there are no rows.
     """
     items = written(_item_seeds(benchmark.select(F.col(item_col).cast("long").alias("item"),
                                                  F.col(item_text).cast("string").alias("text")))

@@ -72,7 +72,8 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     equal row counts, at most one apart (law `rows`); a run covers few cells, so a file's ranges of source, language
     and size are narrow and a reader can skip it. Cells are ranked in hashed slices, so a cell with most of the rows
     is no single task's. Null texts have size 1 and checksum 0; null categories count as empty; rows without an id
-    and repeated rows are placed like others (equal rows may swap their slots). An empty table gives no rows.
+    and repeated rows are placed like others (equal rows may swap their slots). Of a very long text only its size and
+    checksum are kept. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     narrow = docs.select(

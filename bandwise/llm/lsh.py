@@ -209,7 +209,7 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
 
     Null or zero vectors and vectors with null or non-finite components link with nothing: no links, their own
     component, kept. Vectors of different length never link. A null id gives no links and a null component, kept.
-    Repeated rows are vectors of their own, linked with each other, unless their id is null.
+    Repeated rows are vectors of their own, linked with each other, unless their id is null. An empty table gives no rows.
     """
     v = F.col("v")
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))

@@ -219,8 +219,8 @@ def best_fit(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
 
     Pieces are ranked within their length by hashed slices, no length is one task's; the lengths' counts (at most
     `capacity` rows) give the plan, and every task looks its pieces up in it by (length, rank). Null and empty texts
-    are one end id. Rows without an id and repeated rows are packed like others; equal pieces may swap places. An
-    empty table gives no rows.
+    are one end id. Rows without an id and repeated rows are packed like others; equal pieces may swap places. A very
+    long text is encoded whole in its task and leaves as pieces. An empty table gives no rows.
     """
     cut = written(pieces(docs, tokenizer, id_col, text_col, capacity))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}

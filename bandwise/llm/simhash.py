@@ -123,7 +123,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts have fingerprint 0 and link like others. Equal texts and repeated rows share a fingerprint,
     hence a component. A row without an id is returned with its fingerprint and a null component_id, and links
-    nothing. Other columns, whatever their names, are ignored.
+    nothing. A very long text is read whole in its task and leaves as one fingerprint; an empty table gives no rows.
+    Other columns, whatever their names, are ignored.
     """
     prints = written(with_fingerprints(docs, id_col, text_col))
     nodes = written(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("first")))

@@ -359,7 +359,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts, and texts under 100 bytes, lose nothing. Repeated rows (same id, same text) do not count as
     earlier than each other; rows that share an id but not a text lose the union of what either loses. Rows without
-    an id lose nothing and remove nothing. Other columns are ignored.
+    an id lose nothing and remove nothing. A very long text is a chunk of its own in its task; an empty table gives
+    no rows. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),

@@ -158,7 +158,8 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Null html is an empty payload; a null URL is named after the page; white space and control characters in a URL
     are escaped. Equal payloads of at least 1000 bytes are stored with the largest page id; rows that repeat this id
-    are responses each. Rows without an id are revisits of a page with an id, or responses.
+    are responses each. Rows without an id are revisits of a page with an id, or responses. A very long page is one
+    record, held whole in its task; an empty table gives no rows.
     """
     archives = written(write_archives(pages, id_col, url_col, html_col))
     normal = written(normalise(archives))

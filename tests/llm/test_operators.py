@@ -432,3 +432,32 @@ def test_toxicity_sample_holds_what_the_small_corpus_labels():
     sizes = [np.full(2_000, 2_750), np.full(329, 1_700)]
     limits = toxicity._limits(sizes, toxicity.SAMPLE_BYTES)
     assert all((s <= m).all() for s, m in zip(sizes, limits, strict=True))
+
+
+def test_very_long_texts(spark):
+    """A text of 3 MB beside short ones, through every operator that reads texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    item, shared = prose(40), prose(60)
+    # every word of the long text is its own, so that nothing repeats but what is planted
+    words = [f"{k * 2654435761 % 2 ** 32:08x}" for k in range(333_333)]
+    long = f"{' '.join(words)} {item} {shared}"[-3_000_000:]
+    texts = [shared, long, "a short one"]
+    table = docs(spark, texts)
+    fps = {r.doc_id: r.fingerprint for r in simhash.simhash_components(table).collect()}
+    assert fps == {i: f"{simhash_of(t):016x}" for i, t in enumerate(texts)}
+    sizes = {r.doc_id: (r.size, r.text_crc32) for r in hilbert.hilbert_shards(table).collect()}
+    assert sizes == {i: (len(t) + 1, zlib.crc32(t.encode())) for i, t in enumerate(texts)}
+    found = decontam.contaminated(table, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.equal_words) for r in found] == [(1, 7, 40)]
+    cut = {r.doc_id: r for r in suffixes.deduplicated(table).collect()}
+    assert (cut[0].n_removed, cut[2].n_removed, cut[1].n_bytes) == (0, 0, 3_000_000) and cut[1].n_removed >= len(shared)
+    assert cut[1].n_removed == 3_000_000 - len(cut[1].kept)
+    pages = spark.createDataFrame([(1, "u", long), (2, "u", "x"), (3, "u", long)], "page_id long, url string, html string")
+    kinds = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.page_records(pages).collect()}
+    assert kinds == {1: (3_000_000, "revisit", 3), 2: (1, "response", None), 3: (3_000_000, "response", None)}
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids
+    mine = [r for r in packing.best_fit(table, path).collect() if r.doc_id == 1]
+    assert sum(r.length for r in mine) == len(ids) + 1 and all(r.length == 2048 for r in mine if r.start + 2048 <= len(ids))
