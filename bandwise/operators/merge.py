@@ -120,8 +120,10 @@ def mark_removed(stored: DataFrame, gone: DataFrame, now: dt.datetime) -> DataFr
     )
 
 
-def run_metrics(outcomes: DataFrame, run_at: dt.datetime) -> DataFrame:
-    """One run-log row per source from per-page outcomes (columns source, outcome)."""
+def run_metrics(outcomes: DataFrame, run_at: dt.datetime, finished_at: dt.datetime | None = None) -> DataFrame:
+    """One run-log row per source from per-page outcomes (columns source, outcome); the duration is null while a run
+    is not finished."""
+    took = None if finished_at is None else round((finished_at - run_at).total_seconds(), 2)
     is_ = lambda *names: F.count_if(F.col("outcome").isin(*names))
     return outcomes.groupBy("source").agg(
         F.count_if(F.col("outcome") != "fetch_error").alias("pages_fetched"),
@@ -130,7 +132,7 @@ def run_metrics(outcomes: DataFrame, run_at: dt.datetime) -> DataFrame:
         is_("updated").alias("records_updated"),
         is_("fetch_error", "extraction_error").alias("extraction_errors"),
         is_("normalization_error").alias("normalization_errors"),
-    ).withColumn("run_at", F.lit(run_at))
+    ).withColumns({"run_at": F.lit(run_at), "duration_s": F.lit(took).cast("double")})
 
 
 def promote_closed(listings: DataFrame, comps: DataFrame) -> DataFrame:
