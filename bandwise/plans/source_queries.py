@@ -14,7 +14,7 @@ from bandwise.plans import oracle_sql as O
 from bandwise.plans.band_queries import written_bands
 from bandwise.plans.extract_queries import PAGES, expected
 from bandwise.plans.merge_queries import _CHANGES, _LOG
-from bandwise.plans.normalize_queries import ADS, choose, sql_classes, sql_generation
+from bandwise.plans.normalize_queries import ADS, sql_classes, sql_generation
 from bandwise.plans.registry import query
 from bandwise.session import run_folder
 from bandwise.sources import archive, files, links, snapshots
@@ -188,11 +188,8 @@ def csv_exchange(spark, sf):
     return files.read_csv(spark, folder, bands.schema)
 
 
-_MANUAL = choose(A.PHRASES, "doc_id")
-
-
-@query("src11_manual_import", f"""WITH {ADS}, m AS (SELECT *, ' ' || {_MANUAL} AS words FROM ads)
-SELECT source_url, year, {sql_generation('year', 'words')} AS generation,
+@query("src11_manual_import", f"""WITH {ADS}, m AS (SELECT *, ' ' || coalesce(description_raw, '') AS words FROM ads)
+SELECT source_url, year, {sql_generation('year', 'words')} AS generation, description_raw,
   {sql_classes("coalesce(nullif(transmission_raw, ''), words)", D.TRANSMISSION_PATTERNS)} AS transmission FROM m""")
 def manual_import(spark, sf):
     """Hand-collected records through CSV files into the normalization."""
@@ -202,11 +199,11 @@ def manual_import(spark, sf):
         "source_url", "year", none.alias("generation"), F.col("body_style_raw").alias("body_style"),
         none.alias("trim"), F.col("transmission_raw").alias("transmission"), "exterior_color_raw", "mileage",
         F.col("final_price").cast("double").alias("asking_price"), none.alias("currency"),
-        A.pick(A.PHRASES, F.col("doc_id")).alias("description_raw"), "listing_date",
+        "description_raw", "listing_date",
         F.col("seller_type_raw").alias("seller_type"), none.alias("location"))
     files.export_csv(sheet, folder)
     records = normalize_records(files.import_manual(spark, folder))
-    return records.select("source_url", "year", "generation", "transmission")
+    return records.select("source_url", "year", "generation", "description_raw", "transmission")
 
 
 @query("src12_replay", expected("CASE WHEN y BETWEEN 1965 AND 1999 OR (strict AND y BETWEEN 1960 AND 1999) THEN y END AS year"))

@@ -14,17 +14,19 @@ MANUAL_SCHEMA = (
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """One CSV part per task, each with a header."""
-    df.write.mode("errorifexists").option("header", True).csv(path)
+    """One CSV part per task, each with a header; quotes inside a value are doubled and its white space is kept."""
+    df.write.mode("errorifexists").options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+def read_csv(spark: SparkSession, path: str, schema, line_breaks: bool = False) -> DataFrame:
+    """CSV parts with headers. Values may hold line breaks only if told so, since a part is then one task's work."""
+    return spark.read.schema(schema).options(header=True, escape='"', multiLine=line_breaks).csv(path)
 
 
 def import_manual(spark: SparkSession, path: str) -> DataFrame:
-    """Manually collected listings in parsed shape, ready for normalization."""
-    rows = read_csv(spark, path, MANUAL_SCHEMA)
+    """Manually collected listings in parsed shape, ready for normalization; descriptions may run over several lines."""
+    rows = read_csv(spark, path, MANUAL_SCHEMA, line_breaks=True)
     return rows.select(
         F.lit("manual").alias("source"), "source_url", "year", "trim",
         F.col("body_style").alias("body_style_raw"),

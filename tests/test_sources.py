@@ -86,3 +86,19 @@ def test_late_rows_never_overwrite(spark, tmp_path):
     assert sorted((float(r["old_price"]), float(r["new_price"])) for r in tracker.drops().collect()) == [
         (90.0, 80.0), (100.0, 90.0)]
     assert [r["event_id"] for r in tracker.late().collect()] == [3]
+
+
+def test_manual_records_keep_their_texts(spark, tmp_path):
+    told = ['He said "sold", twice', "two\nlines, one\r\nlisting", " ends in a quote\"", "back\\slash", '"', None]
+    sheet = spark.createDataFrame(
+        [(f"u{k}", 1988, t) for k, t in enumerate(told)], "source_url string, year int, description_raw string")
+    for name in files.MANUAL_SCHEMA.split(", "):
+        column, kind = name.split()
+        if column not in sheet.columns:
+            sheet = sheet.withColumn(column, F.lit(None).cast(kind))
+    columns = [c.split()[0] for c in files.MANUAL_SCHEMA.split(", ")]
+    files.export_csv(sheet.select(columns), str(tmp_path / "sheet"))
+    rows = files.import_manual(spark, str(tmp_path / "sheet")).collect()
+    got = {r.source_url: r.description_raw for r in rows}
+    assert got == {f"u{k}": t for k, t in enumerate(told)}
+    assert {r.source for r in rows} == {"manual"} and {r.year for r in rows} == {1988}
