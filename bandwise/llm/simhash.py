@@ -36,7 +36,11 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """64-bit SimHash over word shingles, as a signed integer; no word gives 0."""
-    hashes = shingle_hashes(text, words)
+    return fingerprint_of(shingle_hashes(text, words))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The same from the hashes of a text's shingles, repeats included."""
     if not len(hashes):
         return 0
     ones = np.zeros(BITS, dtype=np.int64)
