@@ -40,3 +40,21 @@ def test_same_slots_as_the_tolerant_parser(spark, monkeypatch):
             html = html[:at] + draw.choice(BITS) + html[at + draw.randint(0, 5):]
         for spec in specs:
             assert dom.read_fragments(html, spec) == tolerant(html, spec, monkeypatch), html
+
+
+def test_a_tag_is_read_once_for_all_pages(monkeypatch):
+    made, mark = [], dom._Mark.__init__
+
+    def counted(self, tag, *rest):
+        made.append(tag)
+        mark(self, tag, *rest)
+
+    monkeypatch.setattr(dom._Mark, "__init__", counted)
+    rules = dom._Rules(P.PCARMARKET)
+    for n in range(50):
+        found = dom.read_fragments(f'<h1 class="listing-title">{n}</h1><ul><li>VIN: {n}</li><li><a href="/{n}">x</a></li></ul>', rules)
+        assert (found["title"], found["values"]) == ([str(n)], [str(n)])
+    assert sorted(set(made)) == ["a", "h1", "li", "ul"] and len(made) == 53
+    monkeypatch.setattr(dom, "MARKS", 2)  # a list that starts anew all the time gives the same
+    html = '<dl><dt>VIN<dd>7</dl><p id="description">A <b>car</b></p>'
+    assert dom.read_fragments(html, dom._Rules(P.PCARMARKET)) == dom.read_fragments(html, rules)
