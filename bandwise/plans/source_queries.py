@@ -213,7 +213,7 @@ def replay(spark, sf):
     older = pages.withColumn("fetched_at", F.col("fetched_at") - F.expr("interval 1 day")).withColumn(
         "content", F.lit("<h1>1970 old</h1>"))
     latest = snapshots.latest_snapshots(pages.unionByName(older))
-    return P.parse_pages(latest).select("source_url", "year")
+    return P.parse_pages(latest, columns=("source_url", "year"))
 
 
 @query("src12_versioned_replay", expected(

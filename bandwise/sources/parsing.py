@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import inspect
-from collections.abc import Callable, Mapping
+import re
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -303,9 +304,12 @@ def ebay(c: Scope) -> Extraction:
         {"price": price, "status": status},
     ]
     ended = c("status").isin("ended", "completed", "sold")
-    kind = F.schema_of_variant(F.try_variant_get(page, "$.Item", "variant"))
-    kind = F.coalesce(F.nullif(kind, F.lit("VOID")), F.schema_of_variant(F.try_variant_get(page, "$.item", "variant")))
-    return Extraction(stages, kind.startswith("OBJECT<") & (kind != "OBJECT<>"), dict(
+
+    def is_object(key):  # one with entries
+        return F.size(F.try_variant_get(page, key, "map<string,variant>")) > 0
+
+    first = F.try_variant_get(page, "$.Item", "variant")
+    return Extraction(stages, F.when(first.isNull() | F.is_variant_null(first), is_object("$.item")).otherwise(is_object("$.Item")), dict(
         title_raw=at("Title"),
         year=F.coalesce(spec("Year").try_cast("int"), X.year(at("Title"), X.YEAR_FROM_1965)),
         trim=spec("Trim"), engine_variant=spec("Engine"), body_style_raw=spec("Body Type"),
@@ -384,9 +388,28 @@ SOURCES: dict[str, Source] = {
 }
 
 
-def _extracted(pages: DataFrame, sources: Mapping[str, Source], filled: Column) -> DataFrame:
+#: A slot of a page in the text of an expression; any other mention of the slots may be any of them.
+_SLOT = re.compile(r"""\bf\b(?:\['(\w+)'\])?""")
+
+
+def slots_read(made: Extraction, scope: Scope, columns: Iterable[str]) -> frozenset[str] | None:
+    """The slots that some columns of the record, and whether there is one, are read from; None: any of them."""
+    helpers = {scope.name(name): value for stage in made.stages for name, value in stage.items()}
+    due, slots, seen = [made.keep, *(made.record[c] for c in columns if c in made.record)], set(), set()
+    while due:
+        text = str(due.pop())
+        slots.update(found[1] for found in _SLOT.finditer(text))
+        for name in set(re.findall(r"\w+", text)) & helpers.keys() - seen:
+            seen.add(name)
+            due.append(helpers[name])
+    return None if None in slots else frozenset(slots)
+
+
+def _extracted(
+    pages: DataFrame, sources: Mapping[str, Source], filled: Column, columns: Iterable[str] = PARSED_COLUMNS
+) -> DataFrame:
     """Every page in the parsed shape with `status_code` and `found`, whether it has a record; `filled` says whether
-    there is something to read.
+    there is something to read. Of the record only `columns` are made, and only the slots that they are read from.
 
     One scan and one Python stage for all sources: the stage takes the slots of each row's own source, and every later
     expression runs for the rows of its source only.
@@ -401,10 +424,11 @@ def _extracted(pages: DataFrame, sources: Mapping[str, Source], filled: Column)
         good = F.lit(True) if source.statuses is None else F.col("status_code").isin(*source.statuses)
         read = read | ((at == name) & good)
     rows = pages.withColumn("_read", F.coalesce(read & filled, F.lit(False)))
-    specs = {name: source.spec for name, source in sources.items() if source.spec is not None}
+    made = {name: source.extraction(Scope(name)) for name, source in sources.items()}
+    specs = {name: source.spec | {"wanted": slots_read(made[name], Scope(name), columns)}
+             for name, source in sources.items() if source.spec is not None}
     if specs:
         rows = rows.withColumn("f", fragments_by_source(at, F.when(F.col("_read") & at.isin(*specs), F.col("content")), specs))
-    made = {name: source.extraction(Scope(name)) for name, source in sources.items()}
     keep = F.lit(False)
     for depth in range(max(len(m.stages) for m in made.values())):
         rows = rows.withColumns({
@@ -417,8 +441,8 @@ def _extracted(pages: DataFrame, sources: Mapping[str, Source], filled: Column)
             rows = rows.withColumn("found", F.col("_read") & F.coalesce(keep, F.lit(False)))
     shared = {"source": at, "source_url": F.col("url"), "scrape_ts": F.col("fetched_at")}
     usual = {"currency": "USD", "price_type": "auction_final"}
-    columns = []
-    for column in PARSED_COLUMNS:
+    values = []
+    for column in columns:
         if column in shared:
             value = shared[column]
         else:
@@ -426,14 +450,17 @@ def _extracted(pages: DataFrame, sources: Mapping[str, Source], filled: Column)
             for name, m in made.items():
                 given = m.record.get(column, plain).cast(TYPES.get(column, "string"))
                 value = F.when(at == name, given) if value is None else value.when(at == name, given)
-        columns.append(value.cast(TYPES.get(column, "string")).alias(column))
-    return rows.select(*columns, "status_code", "found")
+        values.append(value.cast(TYPES.get(column, "string")).alias(column))
+    return rows.select(*values, "status_code", "found")
 
 
-def parse_pages(pages: DataFrame, sources: Mapping[str, Source] = SOURCES) -> DataFrame:
-    """Parsed records of all given sources, by default the known ones."""
-    known = pages.where(F.col("source").isin(*sources) & (F.length("content") > 0))
-    return _extracted(known, sources, F.lit(True)).where("found").drop("status_code", "found")
+def parse_pages(
+    pages: DataFrame, sources: Mapping[str, Source] = SOURCES, columns: Iterable[str] = PARSED_COLUMNS
+) -> DataFrame:
+    """Parsed records of all given sources, by default the known ones; all columns, or those wanted in their order."""
+    known = pages.where(F.col("source").isin(*sources))
+    # not a filter: it would move below the step that spreads the pages, and pages made there would be made twice
+    return _extracted(known, sources, F.length("content") > 0, tuple(columns)).where("found").drop("status_code", "found")
 
 
 def fingerprint(source: Source) -> str:
@@ -469,6 +496,10 @@ def replayed(stored: DataFrame, latest: DataFrame, sources: Mapping[str, Source]
     return kept.withColumn("again", F.lit(False)).unionByName(extracted_pages(due, sources).withColumn("again", F.lit(True)))
 
 
+#: The columns that a route depends on.
+ROUTED_BY = ("is_completed", "sale_date", "final_price")
+
+
 def _is_comp(mode: str) -> Column:
     if mode == "scheduled":
         comp = F.col("is_completed") & F.col("sale_date").isNotNull()
@@ -490,7 +521,7 @@ def page_outcomes(pages: DataFrame, sources: Mapping[str, Source] = SOURCES, mod
     """What became of every page (source, url, outcome): a 404 marks its listing removed, other failures are errors, the
     rest is a comp or a listing. Read off the extraction itself, page by page."""
     status = F.col("status_code")
-    return _extracted(pages, sources, F.length("content") > 0).select(
+    return _extracted(pages, sources, F.length("content") > 0, ("source", "source_url", *ROUTED_BY)).select(
         "source", F.col("source_url").alias("url"),
         F.when(status == 404, "removed")
         .when(status != 200, "fetch_error")

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from bandwise import adapters as A
 from bandwise.functions import dom
 from bandwise.sources import parsing as P
@@ -58,3 +60,54 @@ def test_a_tag_is_read_once_for_all_pages(monkeypatch):
     monkeypatch.setattr(dom, "MARKS", 2)  # a list that starts anew all the time gives the same
     html = '<dl><dt>VIN<dd>7</dl><p id="description">A <b>car</b></p>'
     assert dom.read_fragments(html, dom._Rules(P.PCARMARKET)) == dom.read_fragments(html, rules)
+
+
+def test_wanted_slots_alone_are_read_and_stay_the_same(monkeypatch):
+    pages = "".join(BITS[4:]), '<h1>T</h1><dl><dt>VIN<dd>7</dl><table><tr><td>a<td>b</table><ul><li>x: 1</ul><a href="/q">q</a>'
+    for source in P.SOURCES.values():
+        if source.spec is None:
+            continue
+        for html in pages:
+            whole = dom.read_fragments(html, source.spec)
+            for slot in whole:
+                own = dom.read_fragments(html, source.spec | {"wanted": (slot,)})
+                assert own[slot] == whole[slot]
+                assert set(own) <= {slot, "labels", "values"}
+
+
+def test_a_column_asks_for_its_slots_only(spark):
+    def asked(name, *columns):
+        return P.slots_read(P.SOURCES[name].extraction(P.Scope(name)), P.Scope(name), columns)
+
+    assert asked("bat", "exterior_color_raw") == {"title", "items"}
+    assert asked("carsandbids", "exterior_color_raw") == {"title", "labels", "values"}
+    assert asked("pcarmarket", "is_completed") == {"title", "result", "badge"}
+    assert asked("ebay", "vin") == frozenset()
+    for use in (F.map_keys("f"), F.col("f")[F.col("url")][0]):  # slots that the text does not name: all of them
+        made = P.Extraction([{"x": use}], P.Scope("new")("x").isNotNull(), {})
+        assert P.slots_read(made, P.Scope("new"), ()) is None
+    pages = A.auction_pages(spark, SF)
+    whole = {r.source_url: r for r in P.parse_pages(pages).collect()}
+    columns = ("source_url", "vin", "final_price")
+    some = P.parse_pages(pages, columns=columns)
+    assert some.columns == list(columns)
+    assert {r.source_url: tuple(r) for r in some.collect()} == {u: tuple(r[c] for c in columns) for u, r in whole.items()}
+
+
+def test_pages_are_not_made_before_they_are_spread(spark):
+    plan = P.parse_pages(A.auction_pages(spark, SF), columns=("year",))._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression"):]
+    assert "<html>" in plan and "<html>" not in below
+
+
+def test_an_item_counts_if_it_is_an_object_with_entries(spark):
+    texts = ['{"Item": {"a": 1}}', '{"item": {"a": null}}', '{"Item": null, "item": {"a": 1}}', '{"Item": {}, "item": {"a": 1}}',
+             '{"Item": [1]}', '{"Item": 3, "item": {"a": 1}}', '{"Item": "x"}', '{"item": {}}', "[]", "{", "null", '{"Item": null}', '{"Item": [{"a": 1}]}']
+    rows = spark.createDataFrame([(t,) for t in texts], "content string").select(
+        "*", F.try_parse_json("content").alias(P.Scope("ebay").name("page")))
+    kind = F.schema_of_variant(F.try_variant_get("_ebay_page", "$.Item", "variant"))
+    kind = F.coalesce(F.nullif(kind, F.lit("VOID")), F.schema_of_variant(F.try_variant_get("_ebay_page", "$.item", "variant")))
+    found = rows.select("content", F.coalesce(P.ebay(P.Scope("ebay")).keep, F.lit(False)).alias("keep"), F.coalesce(
+        kind.startswith("OBJECT<") & (kind != "OBJECT<>"), F.lit(False)).alias("known")).collect()
+    assert [(r.content, r.keep) for r in found] == [(r.content, r.known) for r in found]
+    assert sum(r.keep for r in found) == 3
