@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from bandwise.operators.skew import latest_per_key
 
 SLUG_CAP = 120
+#: Snapshots that one task of a replay sorts, some hundred MB of pages.
+SNAPSHOTS_PER_TASK = 100_000
 PATH = r"/([^/]+)/(\d{4}-\d{2}-\d{2})/([^/]+)\.(html|json)$"
 
 
@@ -84,5 +86,7 @@ def already_archived(pages: DataFrame, archive: DataFrame) -> DataFrame:
 
 
 def latest_snapshots(pages: DataFrame) -> DataFrame:
-    """The newest snapshot per page, for replaying the extraction over the whole archive."""
-    return latest_per_key(pages, ["source", "url"], ["fetched_at", "page_id"])
+    """The newest snapshot per page, for replaying the extraction over the whole archive. Pages are sent once, to as many
+    tasks as there are pages for, and each task sorts its own: what a task holds does not grow with the archive."""
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, -(-pages.count() // SNAPSHOTS_PER_TASK))
+    return latest_per_key(pages.repartition(tasks, "source", "url"), ["source", "url"], ["fetched_at", "page_id"])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
 
-from bandwise.sources import archive
+from bandwise.sources import archive, snapshots
 
 AT = dt.datetime(2025, 1, 1, 12)
 COLUMNS = "page_id bigint, source string, url string, fetched_at timestamp, content string, content_type string, status_code int"
@@ -95,3 +95,16 @@ def test_the_stream_follows_the_writes(spark, folder, tmp_path):
     archive.write_pages(pages(spark, range(300, 310)), folder)
     assert drain() == ids(archive.read_pages(spark, folder))
     assert seen[-1] == [i for i in range(300, 310) if i % 7 != 3]
+
+
+def test_a_replay_sends_pages_once_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(snapshots, "SNAPSHOTS_PER_TASK", 10)
+    rows = [("s", f"u{n % 150}", n // 150 * 86_400, n, f"<p>{n}</p>") for n in range(450)]
+    pages = spark.createDataFrame(rows, "source string, url string, at long, page_id long, content string").select(
+        "source", "url", F.timestamp_seconds("at").alias("fetched_at"), "page_id", "content")
+    newest = snapshots.latest_snapshots(pages)
+    assert sorted((r.url, r.page_id, r.content) for r in newest.collect()) == sorted(
+        (url, n, html) for _, url, _, n, html in rows if n >= 300)
+    assert newest.rdd.getNumPartitions() == 45
+    plan = newest._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("SortAggregate") < plan.index("Exchange hashpartitioning")
