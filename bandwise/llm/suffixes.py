@@ -346,9 +346,9 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     return sure.union(indexed)
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
-    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay) and row (a
-    struct of the columns to carry along, and of the id).
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), as_text: bool = False) -> DataFrame:
+    """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay; as_text: without
+    the characters that a cut broke, as a string) and row (a struct of the columns to carry along, and of the id).
 
     A byte goes if a 100-byte string over it also starts at a smaller id or earlier in the same text. Runs of
     neighbouring 100-byte windows meet by their anchor hash. Equal runs settle each other by 128 bits of hash; where an
@@ -388,13 +388,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         reach = at = end
                 kept.append(body[at:])
                 rest = b"".join(kept)
-                for column, value in zip(out, (len(body), removed, spans, hashlib.sha256(rest).hexdigest(), rest), strict=True):
+                left = rest.decode("utf-8", "ignore") if as_text else rest
+                for column, value in zip(out, (len(body), removed, spans, hashlib.sha256(rest).hexdigest(), left), strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)], batch.column(3)],
                 ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "row"])
 
-    found = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    found = f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}"
     return rows.join(stretches, "id", "left").select("id", "text", "stretches", "row").mapInArrow(
         run, f"{found}, row {rows.schema['row'].dataType.simpleString()}").withColumnRenamed("id", id_col)

@@ -189,3 +189,11 @@ def test_stages_of_no_rows(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, FOLDER).count() == 0
+
+
+def test_cut_passages_holds_one_python_worker_a_task(spark):
+    """Python steps of one stage each hold a worker for every task, and workers stay with their memory."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    plan = corpus_pipeline.cut_passages(spark, docs, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    head = plan.split("Join")[0]
+    assert head.count("MapInArrow") == 1
