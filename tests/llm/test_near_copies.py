@@ -46,6 +46,7 @@ def one_crowd(spark, monkeypatch, texts, few, joined=()):
     own = {minhash.shingles(texts[i]).tobytes(): k for k, group in enumerate(joined, 1) for i in group}
     monkeypatch.setattr(minhash, "band_keys", lambda found: np.array([0, own.get(found.tobytes(), 0)], np.int64)[:1 + (found.tobytes() in own)])
     monkeypatch.setattr(minhash, "PAIR_BUCKET", few)
+    monkeypatch.setattr(minhash, "TILE", 500)  # families of several blocks
     table = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
     return {r.doc_id: r.component_id for r in minhash.near_copies(table).collect()}
 
